@@ -188,5 +188,11 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(have[:n], have[width - span : width - span + n])
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
