@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, substring, toxicity
+from . import langid, simhash, substring, toxicity
 from .common import held_out
 
 
@@ -29,5 +29,10 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.score(docs, model).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op6_substring_dedup, op9_toxicity)}
+def op10_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op6_substring_dedup, op9_toxicity, op10_simhash)}
 ORACLES: dict[str, str] = {}
