@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, simhash, substring, toxicity
+from . import bpe, langid, simhash, substring, toxicity
 from .common import held_out
 
 
@@ -22,6 +22,17 @@ def op6_substring_dedup(spark, sf_dir):
     return substring.removal_digest(table(spark, sf_dir, "documents"))
 
 
+def rank_file() -> tuple[str, str]:
+    """Path and pattern of the vocabulary that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op8_byte_bpe(spark, sf_dir):
+    return bpe.round_trip_digest(table(spark, sf_dir, "documents"), *rank_file())
+
+
 def op9_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 3, 1).alias("held_out"))
     marks = table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -34,5 +45,5 @@ def op10_simhash(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op6_substring_dedup, op9_toxicity, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_language, op6_substring_dedup, op8_byte_bpe, op9_toxicity, op10_simhash)}
 ORACLES: dict[str, str] = {}
