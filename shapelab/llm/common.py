@@ -196,3 +196,11 @@ def distinct(values: np.ndarray) -> np.ndarray:
 
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
+
+
+def pack_rows(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values, np.int64).tobytes()
+
+
+def unpack_rows(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.int64)

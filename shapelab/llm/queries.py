@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, simhash, substring, toxicity
+from . import bpe, decontam, langid, simhash, substring, topk, toxicity, urlfilter
 from .common import held_out
 
 
@@ -18,6 +18,27 @@ def op1_language(spark, sf_dir):
     return langid.identify(docs.drop("lang"), langid.train(docs.where(~F.col("held_out"))))
 
 
+def op3_exact_topk(spark, sf_dir):
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+OP3_SQL = """
+WITH v AS (SELECT vec_id, [floor(CAST(x AS DOUBLE) * 64) for x in embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([q.e[i] * c.e[i] for i in range(1, len(q.e) + 1)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20"""
+
+
+def op4_url_filter(spark, sf_dir):
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+def op5_decontamination(spark, sf_dir):
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_substring_dedup(spark, sf_dir):
     return substring.removal_digest(table(spark, sf_dir, "documents"))
 
@@ -45,5 +66,5 @@ def op10_simhash(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op6_substring_dedup, op8_byte_bpe, op9_toxicity, op10_simhash)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_language, op3_exact_topk, op4_url_filter, op5_decontamination, op6_substring_dedup, op8_byte_bpe, op9_toxicity, op10_simhash)}
+ORACLES = {"op3_exact_topk": OP3_SQL, "op4_url_filter": urlfilter.oracle()}
