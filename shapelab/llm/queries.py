@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, simhash, substring, topk, toxicity, urlfilter
+from . import bpe, decontam, langid, simhash, substring, topk, toxicity, urlfilter, warc
 from .common import held_out
 
 
@@ -18,6 +18,18 @@ def op1_language(spark, sf_dir):
     return langid.identify(docs.drop("lang"), langid.train(docs.where(~F.col("held_out"))))
 
 
+def op2_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
+
+
 def op3_exact_topk(spark, sf_dir):
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
@@ -66,5 +78,5 @@ def op10_simhash(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op3_exact_topk, op4_url_filter, op5_decontamination, op6_substring_dedup, op8_byte_bpe, op9_toxicity, op10_simhash)}
-ORACLES = {"op3_exact_topk": OP3_SQL, "op4_url_filter": urlfilter.oracle()}
+QUERIES = {f.__name__: f for f in (op1_language, op2_warc, op3_exact_topk, op4_url_filter, op5_decontamination, op6_substring_dedup, op8_byte_bpe, op9_toxicity, op10_simhash)}
+ORACLES = {"op2_warc": OP2_SQL, "op3_exact_topk": OP3_SQL, "op4_url_filter": urlfilter.oracle()}
