@@ -229,3 +229,25 @@ def round_trip_digest(docs: DataFrame, path: str, pattern: str, key: str = "doc_
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(count, pa.int64()), pa.array(ids_digest), pa.array(text_digest)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(key, "text").mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encode_verified(docs: DataFrame, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
+    """key, n_tokens, ids, and the digest of what the ids decode to; a text that does not
+    come back from its ids stops the job."""
+    shared = _shared(docs.sparkSession, path, pattern)
+
+    def run(batches):
+        codec = None
+        for batch in row_slices(batches, SLICE):
+            codec = codec or _task_codec(shared)
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            ids = codec.encode(texts)
+            digest = []
+            for text, own in zip(texts, ids):
+                back = codec.decode(own)
+                if back != text.encode():
+                    raise ValueError("a text does not come back from its ids")
+                digest.append(hashlib.sha256(back).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(digest)], names=[key, "n_tokens", "ids", "decoded_sha256"])
+
+    return docs.select(key, "text").mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, n_tokens long, ids array<int>, decoded_sha256 string")

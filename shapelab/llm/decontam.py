@@ -180,3 +180,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", budget:
 
         parts.append(rows.mapInArrow(run, schema))
     return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
+
+
+def without_matches(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
+    """The rows of docs that hold no item, as they are; nothing is shuffled."""
+    for items in _slices(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches, shared=shared):
+            matcher = None
+            for batch in row_slices(batches, 8 << 20):
+                matcher = matcher or Matcher(shared.value, budget)
+                yield batch.filter(pa.array([not matcher.find(t) for t in batch.column("text").to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

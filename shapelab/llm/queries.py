@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, simhash, substring, topk, toxicity, urlfilter, warc
+from . import bpe, decontam, langid, license, simhash, substring, topk, toxicity, urlfilter, warc
 from .common import held_out
 
 
@@ -55,6 +55,10 @@ def op6_substring_dedup(spark, sf_dir):
     return substring.removal_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark, sf_dir):
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
 def rank_file() -> tuple[str, str]:
     """Path and pattern of the vocabulary that the queries use."""
     import public_tokenizers
@@ -68,8 +72,8 @@ def op8_byte_bpe(spark, sf_dir):
 
 def op9_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 3, 1).alias("held_out"))
-    marks = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.train(docs.where(~F.col("held_out")).join(marks, "doc_id"))
+    marks = table(spark, sf_dir, "labels").where(~held_out("doc_id", 3, 1))
+    model = toxicity.train(docs, marks)
     return toxicity.score(docs, model).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
@@ -78,5 +82,5 @@ def op10_simhash(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_warc, op3_exact_topk, op4_url_filter, op5_decontamination, op6_substring_dedup, op8_byte_bpe, op9_toxicity, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_warc, op3_exact_topk, op4_url_filter, op5_decontamination, op6_substring_dedup, op7_license_scan, op8_byte_bpe, op9_toxicity, op10_simhash)}
 ORACLES = {"op2_warc": OP2_SQL, "op3_exact_topk": OP3_SQL, "op4_url_filter": urlfilter.oracle()}
