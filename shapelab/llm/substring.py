@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, cut, free, rolling, row_slices, sha256, shuffle_partitions, sliding_min, text_bytes, utf8_view
+from .common import WordHasher, cut, distinct, free, rolling, row_slices, sha256, shuffle_partitions, sliding_min, text_bytes, utf8_view
 
 SLICE = 8 << 20  # bytes hashed at once
 HOLD = 48 << 20  # bytes whose spans are compared with one another before the shuffle
@@ -126,24 +126,35 @@ def span_blocks(k: int, m: int, buckets: int, seed: int):
         equal[1:] = (least[s][1:] == least[s][:-1]) & (n[s][1:] == n[s][:-1]) & (total[s][1:] == total[s][:-1])
         head = np.maximum.accumulate(np.where(equal, 0, np.arange(len(s))))
         bucket = (least[s] % np.uint64(buckets)).astype(np.int64)
-        split = np.argsort(bucket, kind="stable")
-        edge = np.searchsorted(bucket[split], np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(edge)).tolist():
-            mine = split[edge[b] : edge[b + 1]]
-            keep, drop = mine[~equal[mine]], mine[equal[mine]]
-            used = np.unique(row[s[mine]])
-            of = lambda x: np.searchsorted(used, row[s[x]]).astype(np.uint32)
-            spans_ = s[keep]
+        d_row, d_start, d_n, d_of, d_at, d_bucket = joined(row[s[equal]], start[s[equal]], n[s[equal]], row[s[head[equal]]], start[s[head[equal]]], bucket[equal])
+        s, bucket = s[~equal], bucket[~equal]
+        split, d_split = np.argsort(bucket, kind="stable"), np.argsort(d_bucket, kind="stable")
+        edge, d_edge = np.searchsorted(bucket[split], np.arange(buckets + 1)), np.searchsorted(d_bucket[d_split], np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(edge) + np.diff(d_edge)).tolist():
+            spans_, drop = s[split[edge[b] : edge[b + 1]]], d_split[d_edge[b] : d_edge[b + 1]]
+            used = distinct(np.concatenate([row[spans_], d_row[drop], d_of[drop]]))
+            of = lambda x: np.searchsorted(used, x).astype(np.uint32)
             where = np.repeat(at[spans_] - (np.cumsum(n[spans_]) - n[spans_]), n[spans_]) + np.arange(n[spans_].sum())
             block = pack(
-                [doc[used], mark[used], of(keep), start[spans_].astype(np.uint32), n[spans_].astype(np.uint32), least[spans_], check[where]]
-                + [of(drop), start[s[drop]].astype(np.uint32), n[s[drop]].astype(np.uint32), of(head[drop]), start[s[head[drop]]].astype(np.uint32)]
+                [doc[used], mark[used], of(row[spans_]), start[spans_].astype(np.uint32), n[spans_].astype(np.uint32), least[spans_], check[where]]
+                + [of(d_row[drop]), d_start[drop].astype(np.uint32), d_n[drop].astype(np.uint32), of(d_of[drop]), d_at[drop].astype(np.uint32)]
             )
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([block], pa.binary())], names=["bucket", "block"])
 
     return run
 
 
+def joined(row, start, n, of, at, bucket):
+    """Runs that go on from one another at both places, as one run each."""
+    by = np.lexsort((start, start - at, of, row))
+    row, start, n, of, at, bucket = (x[by] for x in (row, start, n, of, at, bucket))
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (of[1:] != of[:-1]) | (start[1:] != start[:-1] + n[:-1]) | (at[1:] != at[:-1] + n[:-1])
+    first = np.flatnonzero(new)
+    total = np.add.reduceat(n, first) if len(first) else n
+    return row[first], start[first], total, of[first], at[first], bucket[first]
+
+
 def _rows(doc, mark, start, n, f_doc, f_mark, f_start):
     i32 = np.int32
     return pa.table([doc, mark, start.astype(i32), n.astype(i32), f_doc, f_mark, f_start.astype(i32)], names=_COLUMNS)
@@ -204,21 +215,23 @@ def repeated_paths(docs: DataFrame, key: str = "doc_id", k: int = 20, m: int | N
     """Compacted paths (doc, mark, start, n, f_doc, f_mark, f_start): n neighbouring
     edges from word start on occur earlier, at f_start of document f."""
     spark = docs.sparkSession
-    m = m or max(1, (k + 1) // 2)
+    m = m or max(1, (k + 1) // 3)
     placed = coordinates(docs, key).select("doc", "mark", "text")
     buckets = max(shuffle_partitions(spark), -(-text_bytes(docs) // BUCKET))
-    blocks = placed.mapInArrow(span_blocks(k, m, buckets, seed), "bucket int, block binary")
-    runs = cut(blocks.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(repeats_in_bucket, _RUN))
+    runs = cut(placed.mapInArrow(span_blocks(k, m, buckets, seed), "bucket int, block binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(repeats_in_bucket, _RUN))
+    free(spark)
     # Compaction over the ends of buckets: a path is led by a run that no run leads into.
-    way = ["doc", "mark", "f_doc", "f_mark", "shift"]
-    ends = runs.dropDuplicates(["doc", "mark", "start", "f_doc", "f_mark", "f_start"]).withColumn("shift", F.col("start") - F.col("f_start"))
-    start = ends.select(*way, F.col("start").alias("at"), F.col("start").alias("from"))
-    stop = ends.select(*way, (F.col("start") + F.col("n")).alias("at"), (F.col("start") + F.col("n")).alias("to"))
-    heads = start.join(stop.drop("to"), [*way, "at"], "left_anti")
-    tails = stop.join(start.drop("from"), [*way, "at"], "left_anti")
+    # Only the document and a hash of the rest stand for the runs that lead on.
+    way = ["mark", "f_doc", "f_mark", "shift"]
+    runs = runs.withColumn("shift", F.col("start") - F.col("f_start"))
+    start = runs.withColumn("at", F.xxhash64(*way, "start"))
+    stop = runs.withColumn("to", F.col("start") + F.col("n")).withColumn("at", F.xxhash64(*way, "to"))
+    heads = start.select("doc", *way, "at", "start").join(stop.select("doc", "at"), ["doc", "at"], "left_anti").distinct()
+    tails = stop.select("doc", *way, "at", "to").join(start.select("doc", "at"), ["doc", "at"], "left_anti").distinct()
+    way = ["doc", *way]
     edge = lambda df, x: df.groupBy(*way).agg(F.sort_array(F.collect_list(x)).alias(x))  # noqa: E731  a way's paths are within one document
-    paths = edge(heads, "from").join(edge(tails, "to"), way).select(*way, F.explode(F.arrays_zip("from", "to")).alias("p"))
-    return paths.select("doc", "mark", F.col("p.from").alias("start"), (F.col("p.to") - F.col("p.from")).alias("n"), "f_doc", "f_mark", (F.col("p.from") - F.col("shift")).alias("f_start"))
+    paths = edge(heads, "start").join(edge(tails, "to"), way).select(*way, F.explode(F.arrays_zip("start", "to")).alias("p"))
+    return paths.select("doc", "mark", F.col("p.start").alias("start"), (F.col("p.to") - F.col("p.start")).alias("n"), "f_doc", "f_mark", (F.col("p.start") - F.col("shift")).alias("f_start"))
 
 
 def covered(words: int, starts, counts, k: int) -> np.ndarray:
