@@ -1 +1,10 @@
-"""shapelab: the statistical shape of relational data, on Spark."""
+"""shapelab: the statistical shape of relational data, on Spark.
+
+Functions that run on executors travel with the job, so executors need no copy of
+the package."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
