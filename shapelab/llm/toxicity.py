@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct, lower_ascii, row_slices, utf8_view
+from .common import cut, distinct, lower_ascii, row_slices, utf8_view
 
 SIZES = (4, 5, 6)
 BITS = 22
@@ -95,18 +95,29 @@ def fit(rows, columns, labels, width, ratio, l2=1e-5, rounds=600):
     return w * ratio, b
 
 
-def train(labelled: DataFrame, docs_per_class: int = 2500, features: int = 3000, least_docs: int = 8, least_z: float = 5.0, seed: int = 11) -> Model:
-    """labelled(doc_id, text, toxic).  About docs_per_class rows of each class and the
-    given number of buckets bound what is learned from and what reaches the driver;
-    buckets whose frequencies differ by less than least_z standard errors are left out."""
-    labelled = labelled.where(F.col("toxic").isin(0, 1) & F.col("text").isNotNull()).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    sizes = {r[0]: r[1] for r in labelled.groupBy("toxic").count().collect()}
-    if len(sizes) < 2:
-        return Model({}, -10.0 if 1 not in sizes else 10.0)
+def labelled_sample(docs: DataFrame, labels: DataFrame, docs_per_class: int, seed: int) -> DataFrame:
+    """(doc_id, text, toxic) of about docs_per_class labelled rows of each class, with no
+    text shuffled: the drawn ids are few by the parameter, their
+    number is checked, and they go to the texts by broadcast."""
+    labels = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    sizes = {r[0]: r[1] for r in labels.groupBy("toxic").count().collect()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2**31)) / F.lit(float(2**31))
-    sample = labelled.where(draw < F.when(F.col("toxic") == 1, min(1.0, docs_per_class / sizes[1])).otherwise(min(1.0, docs_per_class / sizes[0])))
+    share = F.when(F.col("toxic") == 1, min(1.0, docs_per_class / sizes.get(1, 1))).otherwise(min(1.0, docs_per_class / sizes.get(0, 1)))
+    drawn = cut(labels.where(draw < share))
+    if drawn.count() > 4 * docs_per_class:
+        raise ValueError("the drawn sample is larger than its parameter allows")
+    return cut(docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(drawn), "doc_id"))
+
+
+def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = 2500, features: int = 3000, least_docs: int = 8, least_z: float = 5.0, seed: int = 11) -> Model:
+    """docs(doc_id, text), labels(doc_id, toxic).  About docs_per_class rows of each class and
+    the given number of buckets bound what is learned from and what reaches the driver;
+    buckets whose frequencies differ by less than least_z standard errors are left out."""
+    sample = labelled_sample(docs, labels, docs_per_class, seed)
     n = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
+    if not n1 or not n0:
+        return Model({}, 10.0 if n1 else -10.0)
     p, q = (F.col("toxic") + 1) / F.lit(n1 + 2.0), (F.col("clean") + 1) / F.lit(n0 + 2.0)
     seen = sample.mapInArrow(frequency_rows, "bucket long, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     pooled = (F.col("toxic") + F.col("clean") + 1) / F.lit(n1 + n0 + 2.0)
@@ -157,3 +168,19 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in carried] + [pa.array(1 / (1 + np.exp(-np.clip(margin, -30, 30))))], names=[*carried, "score"])
 
     return rows.mapInArrow(run, f"{kinds}{', ' if carried else ''}score double")
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs that score below the threshold, as they are; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+
+    def run(batches):
+        weights, bias = shared.value
+        table = Model(weights, bias).table()
+        keep = table != 0
+        for batch in row_slices(batches, SLICE):
+            row, bucket = present(*utf8_view(batch.column("text")), keep)
+            margin = np.bincount(row, table[bucket], minlength=batch.num_rows) + bias
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(margin, -30, 30))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
