@@ -27,6 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +37,8 @@ SLICE = 8 << 20  # bytes hashed at once
 HOLD = 48 << 20  # bytes whose spans are compared with one another before the shuffle
 BUCKET = 24 << 20  # bytes of text for each bucket
 _A, _B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-_RUN = "doc long, mark long, start int, n int, f_doc long, f_mark long, f_start int"
-_COLUMNS = ["doc", "mark", "start", "n", "f_doc", "f_mark", "f_start"]
+_RUN = "copy long, doc long, mark long, start int, n int, f_doc long, f_mark long, f_start int"
+_COLUMNS = ["copy", "doc", "mark", "start", "n", "f_doc", "f_mark", "f_start"]
 
 
 def coordinates(docs: DataFrame, key: str = "doc_id"):
@@ -91,17 +92,18 @@ def span_blocks(k: int, m: int, buckets: int, seed: int):
 
     def run(batches):
         hasher, held, size = WordHasher(seed), [], 0
+        copy = TaskContext.get().partitionId() << 24  # tells rows of one document in different blocks apart
         for batch in row_slices(batches, SLICE):
             data, offsets = utf8_view(batch.column("text"))
             held.append((batch.column("doc").to_numpy(), batch.column("mark").to_numpy(), *edge_spans(hasher, data, offsets, k, m)))
             size += len(data)
             if size >= HOLD:
-                yield from flush(held)
-                held, size = [], 0
+                yield from flush(held, copy)
+                held, size, copy = [], 0, copy + 1
         if held:
-            yield from flush(held)
+            yield from flush(held, copy)
 
-    def flush(held):
+    def flush(held, copy):
         base = np.cumsum([0] + [len(h[0]) for h in held])
         doc, mark = (np.concatenate([h[i] for h in held]) for i in (0, 1))
         row = np.concatenate([h[2] + b for h, b in zip(held, base)])
@@ -136,7 +138,7 @@ def span_blocks(k: int, m: int, buckets: int, seed: int):
             of = lambda x: np.searchsorted(used, x).astype(np.uint32)
             where = np.repeat(at[spans_] - (np.cumsum(n[spans_]) - n[spans_]), n[spans_]) + np.arange(n[spans_].sum())
             block = pack(
-                [doc[used], mark[used], of(row[spans_]), start[spans_].astype(np.uint32), n[spans_].astype(np.uint32), least[spans_], check[where]]
+                [np.array([copy], np.int64), doc[used], mark[used], of(row[spans_]), start[spans_].astype(np.uint32), n[spans_].astype(np.uint32), least[spans_], check[where]]
                 + [of(d_row[drop]), d_start[drop].astype(np.uint32), d_n[drop].astype(np.uint32), of(d_of[drop]), d_at[drop].astype(np.uint32)]
             )
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([block], pa.binary())], names=["bucket", "block"])
@@ -155,23 +157,23 @@ def joined(row, start, n, of, at, bucket):
     return row[first], start[first], total, of[first], at[first], bucket[first]
 
 
-def _rows(doc, mark, start, n, f_doc, f_mark, f_start):
+def _rows(copy, doc, mark, start, n, f_doc, f_mark, f_start):
     i32 = np.int32
-    return pa.table([doc, mark, start.astype(i32), n.astype(i32), f_doc, f_mark, f_start.astype(i32)], names=_COLUMNS)
+    return pa.table([copy, doc, mark, start.astype(i32), n.astype(i32), f_doc, f_mark, f_start.astype(i32)], names=_COLUMNS)
 
 
 def repeats_in_bucket(table: pa.Table) -> pa.Table:
     """All blocks of a bucket -> its nonbranching paths of repeated edges."""
-    docs, marks, rows, starts, lengths, leasts, checks, out = [], [], [], [], [], [], [], []
+    docs, marks, copies, rows, starts, lengths, leasts, checks, out = [], [], [], [], [], [], [], [], []
     base = 0
     for block in table["block"].to_pylist():
-        doc, mark, row, start, n, least, check, d_row, d_start, d_n, d_of, d_at = unpack(block)
+        copy, doc, mark, row, start, n, least, check, d_row, d_start, d_n, d_of, d_at = unpack(block)
         if len(d_row):
-            out.append(_rows(doc[d_row], mark[d_row], d_start, d_n, doc[d_of], mark[d_of], d_at))
-        docs.append(doc), marks.append(mark), starts.append(start), lengths.append(n), leasts.append(least), checks.append(check)
+            out.append(_rows(np.repeat(copy, len(d_row)), doc[d_row], mark[d_row], d_start, d_n, doc[d_of], mark[d_of], d_at))
+        copies.append(np.repeat(copy, len(doc))), docs.append(doc), marks.append(mark), starts.append(start), lengths.append(n), leasts.append(least), checks.append(check)
         rows.append(row.astype(np.int64) + base)
         base += len(doc)
-    doc, mark, row = np.concatenate(docs), np.concatenate(marks), np.concatenate(rows)
+    copy, doc, mark, row = np.concatenate(copies), np.concatenate(docs), np.concatenate(marks), np.concatenate(rows)
     start, n, least, check = (np.concatenate(x).astype(t) for x, t in ((starts, np.int64), (lengths, np.int64), (leasts, np.uint64), (checks, np.uint64)))
     at = np.cumsum(n) - n
     by = np.argsort(least, kind="stable")
@@ -206,7 +208,7 @@ def repeats_in_bucket(table: pa.Table) -> pa.Table:
         a = later[begins]
         length = np.diff(np.append(np.flatnonzero(begins), len(later)))
         r, f = rank[row[s]][span[a]], first[a] >> 32
-        out.append(_rows(doc[name[r]], mark[name[r]], pos[a], length, doc[name[f]], mark[name[f]], first[a] & 0xFFFFFFFF))
+        out.append(_rows(copy[row[s]][span[a]], doc[name[r]], mark[name[r]], pos[a], length, doc[name[f]], mark[name[f]], first[a] & 0xFFFFFFFF))
     schema = pa.schema([(c, pa.int32() if c in ("start", "n", "f_start") else pa.int64()) for c in _COLUMNS])
     return pa.concat_tables([x.cast(schema) for x in out]) if out else schema.empty_table()
 
@@ -222,12 +224,12 @@ def repeated_paths(docs: DataFrame, key: str = "doc_id", k: int = 20, m: int | N
     free(spark)
     # Compaction over the ends of buckets: a path is led by a run that no run leads into.
     # Only the document and a hash of the rest stand for the runs that lead on.
-    way = ["mark", "f_doc", "f_mark", "shift"]
+    way = ["copy", "mark", "f_doc", "f_mark", "shift"]
     runs = runs.withColumn("shift", F.col("start") - F.col("f_start"))
     start = runs.withColumn("at", F.xxhash64(*way, "start"))
     stop = runs.withColumn("to", F.col("start") + F.col("n")).withColumn("at", F.xxhash64(*way, "to"))
-    heads = start.select("doc", *way, "at", "start").join(stop.select("doc", "at"), ["doc", "at"], "left_anti").distinct()
-    tails = stop.select("doc", *way, "at", "to").join(start.select("doc", "at"), ["doc", "at"], "left_anti").distinct()
+    heads = start.select("doc", *way, "at", "start").join(stop.select("doc", "at"), ["doc", "at"], "left_anti")
+    tails = stop.select("doc", *way, "at", "to").join(start.select("doc", "at"), ["doc", "at"], "left_anti")
     way = ["doc", *way]
     edge = lambda df, x: df.groupBy(*way).agg(F.sort_array(F.collect_list(x)).alias(x))  # noqa: E731  a way's paths are within one document
     paths = edge(heads, "start").join(edge(tails, "to"), way).select(*way, F.explode(F.arrays_zip("start", "to")).alias("p"))
@@ -247,7 +249,7 @@ def without_repeats(docs: DataFrame, make, schema: str, key: str = "doc_id", k:
     [(start, n), ...] in column `spans`."""
     spark = docs.sparkSession
     paths = repeated_paths(docs, key, k)
-    per_doc = cut(paths.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "n")).alias("spans")))
+    per_doc = cut(paths.groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "n")).alias("spans")))
     free(spark)
     rows = coordinates(docs, key).join(per_doc, ["doc", "mark"], "left").drop("doc", "mark")
 
