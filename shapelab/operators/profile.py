@@ -83,7 +83,7 @@ def length_p95(df: DataFrame, table: str, columns: list[str]) -> DataFrame:
 def distinct_counts(df: DataFrame, table: str, columns: list[str]) -> DataFrame:
     """Exact distinct counts, one grouped count for each column: distinct values shuffle
     after a map-side combine, and no row is expanded once for each column."""
-    return union(df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).agg(F.count("*").alias("distinct_count"), F.coalesce(F.sum("n"), F.lit(0)).alias("non_null")).select(F.lit(table).alias("table_name"), F.lit(c).alias("column_name"), "distinct_count", "non_null") for c in columns)
+    return union(df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n")).agg(F.count("*").alias("distinct_count"), F.coalesce(F.sum("n"), F.lit(0)).alias("non_null")).select(F.lit(table).alias("table_name"), F.lit(c).alias("column_name"), "distinct_count", "non_null") for c in columns)
 
 
 def uniqueness(df: DataFrame, table: str, columns: list[str]) -> DataFrame:

@@ -15,7 +15,7 @@ def fanout(child: DataFrame, fk: str, fraction: float = 1.0) -> DataFrame:
     rows = child.where(F.col(fk).isNotNull())
     if fraction < 1:
         rows = rows.where(sampled(F.col(fk), fraction))
-    counts = rows.groupBy(fk).agg(F.count("*").alias("n"))
+    counts = rows.groupBy(F.col(fk).alias("k")).agg(F.count("*").alias("n"))
     return counts.agg(
         F.count("*").alias("parents"),
         round6(F.avg("n")).alias("mean"),
