@@ -55,6 +55,17 @@ def op6_substring_dedup(spark, sf_dir):
     return substring.removal_digest(table(spark, sf_dir, "documents"))
 
 
+OP6_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS b FROM w WHERE len(ws) >= 20),
+k AS (SELECT doc_id, b, row_number() OVER (PARTITION BY array_to_string(ws[b:b + 19], ' ') ORDER BY doc_id, b) AS nth FROM s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(b, b + 20)) AS pos FROM k WHERE nth > 1),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS line, count(*) AS n FROM words LEFT JOIN gone USING (doc_id, pos) WHERE gone.pos IS NULL GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(line, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)"""
+
+
 def op7_license_scan(spark, sf_dir):
     return license.scan(table(spark, sf_dir, "documents"))
 
@@ -83,4 +94,4 @@ def op10_simhash(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_language, op2_warc, op3_exact_topk, op4_url_filter, op5_decontamination, op6_substring_dedup, op7_license_scan, op8_byte_bpe, op9_toxicity, op10_simhash)}
-ORACLES = {"op2_warc": OP2_SQL, "op3_exact_topk": OP3_SQL, "op4_url_filter": urlfilter.oracle()}
+ORACLES = {"op2_warc": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op3_exact_topk": OP3_SQL, "op4_url_filter": urlfilter.oracle()}
