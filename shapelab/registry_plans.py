@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions.numbers import round6
-from .hydrate import engine, fanout
+from .hydrate import checks, engine, fanout
 from .operators import privacy, profile, references
-from .plans import diff, rules, statements, verdict
+from .plans import apply, diff, rules, statements, verdict
 from .plans.facts import Facts
 from .registry import PAIRS, R6, register, union_all
 from .session import table
+from .sources import catalog
 from .sources.scripts import redact_url, scrub
 
 #: One script that sets off every rule, two files for the transaction rules.
@@ -217,3 +218,66 @@ def hydrated(spark, d):
         [c("id", "bigint", unique=True, low=1), c("email", "varchar(24)", 0.032, distinct=900, format_class="email", width=24), c("age", "integer", low=18, high=97, distinct=500), c("state", "order_state", labels=["new", "paid", "sent"]), c("score", "integer", bounds=[0.0, 1.0, 5.0, 1000.0]), c("made_at", "timestamp", low="2024-01-01", high="2024-02-01", distinct=40), c("owner_id", "bigint", reference=("public.owners", 100, fanout.Shape(20, 12, 60, 200), 0.0))],
     )
     return engine.generate(spark, shape, 42).withColumn("made_at", F.date_format("made_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+# --- structure, samples, checks of data --------------------------------------------------
+
+_STRUCTURE = [("region", "r_regionkey", "int", "numeric"), ("region", "r_name", "string", "text"), ("events", "ts", "timestamp_ntz", "temporal")]
+
+
+@register("catalog_columns", f"SELECT * FROM {_values(_STRUCTURE, 'table_name, column_name, data_type, category')}")
+def catalog_columns(spark, d):
+    found = catalog.columns(spark, {t: table(spark, d, t) for t in ("region", "events")})
+    return found.where(F.col("column_name").isin("r_regionkey", "r_name", "ts")).select("table_name", "column_name", "data_type", "category")
+
+
+@register("catalog_value_sample", union_all(f"SELECT * FROM (SELECT '{t}' AS table_name, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM {t} WHERE {c} IS NOT NULL ORDER BY sha256(CAST({c} AS VARCHAR)) LIMIT 100)" for t, c in (("customer", "c_name"), ("orders", "o_orderkey"))))
+def sample_values(spark, d):
+    return profile.union([catalog.value_sample(table(spark, d, "customer"), "customer", "c_name", 100), catalog.value_sample(table(spark, d, "orders"), "orders", "o_orderkey", 100)])
+
+
+_STATS = [("a", 50.0, 1000), ("b", -0.5, 1001), ("c", -1.0, 77), ("d", 0.0, 10)]
+
+
+@register("profile_distinct_from_stats", f"SELECT c, CASE WHEN n > 0 THEN CAST(n AS BIGINT) WHEN n < 0 THEN CAST(floor(-n * r + 0.5) AS BIGINT) END AS distinct_count FROM {_values(_STATS, 'c, n, r')}")
+def from_stats(spark, d):
+    return spark.createDataFrame(_STATS, "c string, n double, r long").select("c", catalog.distinct_from_stats(F.col("n"), F.col("r")).alias("distinct_count"))
+
+
+@register("profile_binary_length", f"SELECT 'pages' AS table_name, 'html' AS column_name, CAST(min(octet_length(encode(html))) AS BIGINT) AS min_bytes, CAST(max(octet_length(encode(html))) AS BIGINT) AS max_bytes, {R6('avg(octet_length(encode(html)))')} AS mean_bytes FROM pages")
+def binary_length(spark, d):
+    return catalog.binary_lengths(table(spark, d, "pages").select(F.col("html").cast("binary").alias("html")), "pages", ["html"])
+
+
+_CHECKED = [("CHECK ((age >= 0) AND (age < 120))", True), ("age > 17", True), ("state = ANY (ARRAY['new'::text, 'paid'::text, 'sent'::text])", True), ("state = ANY (ARRAY['paid'::text, 'sent'::text, 'x'::text])", True), ("n > 5", False), ("a > 1 OR b > 2", True)]
+
+
+@register("hydrate_check_domains", "SELECT * FROM (VALUES ('age', 18.0::DOUBLE, 119.0::DOUBLE, NULL), ('state', NULL, NULL, 'paid,sent')) v(column_name, low, high, choices)")
+def check_domains(spark, d):
+    found = checks.domains(_CHECKED)
+    return spark.createDataFrame([(c, x.low, x.high, ",".join(x.values) if x.values is not None else None) for c, x in sorted(found.items())], "column_name string, low double, high double, choices string")
+
+
+_TRIED = """ALTER TABLE customer ALTER c_name SET NOT NULL; ALTER TABLE customer ADD UNIQUE (c_acctbal); ALTER TABLE orders ADD CONSTRAINT p CHECK (o_totalprice > 1000);
+ALTER TABLE lineitem ADD FOREIGN KEY (l_orderkey) REFERENCES orders (o_orderkey); CREATE UNIQUE INDEX i ON orders (o_orderkey)"""
+
+
+@register("apply_checks", """SELECT 0 AS idx, 'set_not_null' AS kind, 'customer' AS table_name, count(*) FILTER (WHERE c_name IS NULL) AS violations FROM customer
+UNION ALL SELECT 1, 'add_unique', 'customer', count(*) FROM (SELECT c_acctbal FROM customer GROUP BY c_acctbal HAVING count(*) > 1)
+UNION ALL SELECT 2, 'add_check', 'orders', count(*) FILTER (WHERE NOT o_totalprice > 1000) FROM orders
+UNION ALL SELECT 3, 'add_fk', 'lineitem', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
+UNION ALL SELECT 4, 'create_unique_index', 'orders', count(*) FROM (SELECT o_orderkey FROM orders GROUP BY o_orderkey HAVING count(*) > 1)""")
+def apply_checks(spark, d):
+    rows = [dict(zip(statements._NAMES, r)) for r in statements.parse([("a.sql", _TRIED)])]
+    return apply.check_rows(rows, {t: table(spark, d, t) for t in ("customer", "orders", "lineitem")})
+
+
+_KEYS_DECLARED = [("t", "primary_key", ["id"]), ("t", "unique", ["a", "b"]), ("u", "unique", ["code"])]
+_INDEXES_DECLARED = [("t", True, ["email"], 0, None), ("t", True, ["x"], 1, None), ("t", True, ["y"], 0, "z IS NULL"), ("t", False, ["w"], 0, None)]
+
+
+@register("catalog_proven_unique", "SELECT * FROM (VALUES ('t', 'id'), ('u', 'code'), ('t', 'email')) v(table_name, column_name)")
+def proven(spark, d):
+    c = spark.createDataFrame(_KEYS_DECLARED, "table_name string, kind string, columns array<string>")
+    i = spark.createDataFrame(_INDEXES_DECLARED, "table_name string, is_unique boolean, columns array<string>, expressions int, predicate string")
+    return catalog.proven_unique(c, i)
