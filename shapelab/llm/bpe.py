@@ -172,7 +172,8 @@ def _task_codec(shared) -> Codec:
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """All columns of docs and ids array<int>."""
+    """All columns of docs and ids array<int>, in place of a column of that name."""
+    docs = docs.drop("ids")
     shared = _shared(docs.sparkSession, path, pattern)
     carried = docs.columns
 
@@ -190,7 +191,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """All columns but ids, and decoded binary."""
     shared = _shared(encoded.sparkSession, path, pattern)
-    carried = [c for c in encoded.columns if c != "ids"]
+    carried = [c for c in encoded.columns if c not in ("ids", "decoded")]
 
     def run(batches):
         codec = None

@@ -191,11 +191,11 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The rows of docs that name their component: the smallest key of each group stays.
     Rows that repeat that key are kept once; a group without any key keeps one row."""
     named = cut(near_duplicates(docs.select(key, "text"), key, **options))
-    gone = named.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("gone_key")).distinct()
-    kept = docs.join(gone, F.col(key).eqNullSafe(F.col("gone_key")), "left_anti")
-    twice = cut(named.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(key).count().where("count > 1").select(F.col(key).alias("twice_key")))
+    gone = named.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__gone_key")).distinct()
+    kept = docs.join(gone, F.col(key).eqNullSafe(F.col("__gone_key")), "left_anti")
+    twice = cut(named.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(key).count().where("count > 1").select(F.col(key).alias("__twice_key")))
     if twice.isEmpty():
         return kept
-    again = F.col(key).eqNullSafe(F.col("twice_key"))
+    again = F.col(key).eqNullSafe(F.col("__twice_key"))
     repeated = kept.join(twice, again, "left_semi").dropDuplicates([key])
     return kept.join(twice, again, "left_anti").unionByName(repeated)

@@ -41,10 +41,10 @@ _RUN = "copy long, doc long, mark long, start int, n int, f_doc long, f_mark lon
 _COLUMNS = ["copy", "doc", "mark", "start", "n", "f_doc", "f_mark", "f_start"]
 
 
-def coordinates(docs: DataFrame, key: str = "doc_id"):
+def coordinates(docs: DataFrame, key: str = "doc_id", doc: str = "doc", mark: str = "mark"):
     """docs with the coordinate (doc, mark): the id, nulls least, and a hash of the text."""
-    mark = F.xxhash64(F.coalesce("text", F.lit("")), F.col(key).isNull())
-    return docs.withColumn("doc", F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))).withColumn("mark", mark)
+    hashed = F.xxhash64(F.coalesce("text", F.lit("")), F.col(key).isNull())
+    return docs.withColumn(doc, F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))).withColumn(mark, hashed)
 
 
 def pack(arrays) -> bytes:
@@ -218,7 +218,7 @@ def repeated_paths(docs: DataFrame, key: str = "doc_id", k: int = 20, m: int | N
     edges from word start on occur earlier, at f_start of document f."""
     spark = docs.sparkSession
     m = m or max(1, (k + 1) // 3)
-    placed = coordinates(docs, key).select("doc", "mark", "text")
+    placed = coordinates(docs.select(key, "text"), key).select("doc", "mark", "text")
     buckets = max(shuffle_partitions(spark), -(-text_bytes(docs) // BUCKET))
     runs = cut(placed.mapInArrow(span_blocks(k, m, buckets, seed), "bucket int, block binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(repeats_in_bucket, _RUN))
     free(spark)
@@ -245,13 +245,13 @@ def covered(words: int, starts, counts, k: int) -> np.ndarray:
 
 
 def without_repeats(docs: DataFrame, make, schema: str, key: str = "doc_id", k: int = 20) -> DataFrame:
-    """make(batch, spans) -> batch for the rows of docs, with each row's repeated spans
-    [(start, n), ...] in column `spans`."""
+    """make(batch) -> batch for the rows of docs, with each row's repeated spans
+    [(start, n), ...] in column `__spans`."""
     spark = docs.sparkSession
     paths = repeated_paths(docs, key, k)
-    per_doc = cut(paths.groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "n")).alias("spans")))
+    per_doc = cut(paths.groupBy(F.col("doc").alias("__doc"), F.col("mark").alias("__mark")).agg(F.collect_set(F.struct("start", "n")).alias("__spans")))
     free(spark)
-    rows = coordinates(docs, key).join(per_doc, ["doc", "mark"], "left").drop("doc", "mark")
+    rows = coordinates(docs, key, "__doc", "__mark").join(per_doc, ["__doc", "__mark"], "left").drop("__doc", "__mark")
 
     def run(batches):
         for batch in row_slices(batches, SLICE):
@@ -265,7 +265,7 @@ def digest_batch(k: int, key: str):
 
     def make(batch):
         n_words, n_removed, digest = [], [], []
-        for text, spans in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist()):
+        for text, spans in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("__spans").to_pylist()):
             words = (text or b"").split()
             n_words.append(len(words))
             if spans:
@@ -298,14 +298,15 @@ def strip_text(data: bytes, spans, k: int) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", k: int = 20) -> DataFrame:
-    """The rows of docs with repeated passages cut from text; column n_removed counts words."""
-    carried = [c for c in docs.columns if c != "text"]
+def remove_repeats(docs: DataFrame, key: str = "doc_id", k: int = 20, counted: str = "n_removed") -> DataFrame:
+    """The rows of docs with repeated passages cut from text; the column `counted` tells the
+    words removed and takes the place of one of that name."""
+    carried = [c for c in docs.columns if c not in ("text", counted)]
     kinds = dict(docs.dtypes)
 
     def make(batch):
         texts, removed = [], []
-        for text, spans in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist()):
+        for text, spans in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("__spans").to_pylist()):
             if spans:
                 kept = strip_text(text, spans, k)
                 removed.append(len(text.split()) - len(kept.split()))
@@ -313,7 +314,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", k: int = 20) -> DataFra
             else:
                 removed.append(0)
             texts.append(text)
-        return pa.RecordBatch.from_arrays([batch.column(c) for c in carried] + [pa.array(texts, pa.binary()).cast(pa.string()), pa.array(removed, pa.int64())], names=[*carried, "text", "n_removed"])
+        return pa.RecordBatch.from_arrays([batch.column(c) for c in carried] + [pa.array(texts, pa.binary()).cast(pa.string()), pa.array(removed, pa.int64())], names=[*carried, "text", counted])
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carried) + (", " if carried else "") + "text string, n_removed long"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carried) + (", " if carried else "") + f"text string, `{counted}` long"
     return without_repeats(docs, make, schema, key, k)

@@ -151,10 +151,10 @@ def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = 2500, featur
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
-    """All columns of docs but text, and score (0 to 1)."""
+    """All columns of docs but text, and score (0 to 1) in place of a column of that name."""
     weights, bias = model.weights, model.bias
     shared = docs.sparkSession.sparkContext.broadcast((weights, bias))
-    carried = [c for c in docs.columns if c != "text"]
+    carried = [c for c in docs.columns if c not in ("text", "score")]
     rows = docs.select(*carried, F.col("text"))
     kinds = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in carried)
 

@@ -56,3 +56,15 @@ def test_an_empty_table_runs_through(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder[0]}/{name}.parquet").limit(0).write.parquet(f"{path}/{name}.parquet")
     assert corpus_pipeline.run(spark, path).count() == 0
+
+
+def test_columns_with_clashing_names_pass_through(spark, folder):
+    from pyspark.sql import functions as F
+
+    names = ["score", "doc", "mark", "spans", "n_removed", "copy", "fp0", "node", "component_id", "gone_key", "count", "item_id", "least", "row"]
+    frame = spark.read.parquet(f"{folder[0]}/documents.parquet").where("doc_id > 290 or doc_id < 12").select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    columns = frame.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, folder[0])
+        assert frame.columns == columns
+        assert all(r[n] == f"{n}{r.doc_id}" for r in frame.collect() for n in names)
