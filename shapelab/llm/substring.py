@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import WordHasher, cut, distinct, free, rolling, row_slices, sha256, shuffle_partitions, sliding_min, text_bytes, utf8_view
 
-SLICE = 8 << 20  # bytes hashed at once
-HOLD = 48 << 20  # bytes whose spans are compared with one another before the shuffle
+SLICE = 4 << 20  # bytes hashed at once
+HOLD = 32 << 20  # bytes whose spans are compared with one another before the shuffle
 BUCKET = 24 << 20  # bytes of text for each bucket
 _A, _B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _RUN = "copy long, doc long, mark long, start int, n int, f_doc long, f_mark long, f_start int"
