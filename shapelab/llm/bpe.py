@@ -9,7 +9,7 @@ the two neighbours.  If a merge makes a pair of a lower rank, that one goes
 first, so each word ends as if it had been encoded alone, lowest rank first and
 leftmost among equals.  Texts are then read off their words' ids.
 
-Words met before in the same task are kept, up to a bounded number of bytes, so
+Words met before in the same task are kept, up to a bounded number, so
 the replay runs over new words only.  Nothing is shuffled.
 
 Defined results: a null text is empty; an empty text has no ids; the digests of
@@ -22,14 +22,16 @@ import base64
 import hashlib
 import heapq
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from .common import row_slices
 
-SLICE = 8 << 20
+SLICE = 2 << 20
 KEEP_WORDS = 1 << 19
+REPLAY_WORDS = 1 << 15
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -124,39 +126,54 @@ def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
 
 
 class Codec:
-    """Encodes and decodes with a rank table, remembering words."""
+    """Encodes and decodes with a rank table, remembering words and their ids; ids are kept
+    as decimal text, which is small and is what most results need."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
     def learn(self, pieces: set[str]) -> None:
         if len(self.known) > KEEP_WORDS:
             self.known = {w: self.known[w] for w in pieces if w in self.known}
-        fresh = sorted(pieces.difference(self.known))
         left = []
-        for w in fresh:
+        for w in sorted(pieces.difference(self.known)):
             rank = self.ranks.get(w.encode())
             if rank is None:
                 left.append(w)
             else:
-                self.known[w] = [rank]
-        if left:
-            self.known.update(zip(left, replay([w.encode() for w in left], self.ranks)))
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+                self.known[w] = b"%d" % rank
+        for a in range(0, len(left), REPLAY_WORDS):
+            part = left[a : a + REPLAY_WORDS]
+            for w, ids in zip(part, replay([w.encode() for w in part], self.ranks)):
+                self.known[w] = " ".join(map(str, ids)).encode()
+
+    def lines(self, texts: list[str]) -> list[tuple[list[str], bytes]]:
+        """Words of each text, and its ids in decimal, joined by one space."""
         split = [self.split(t) for t in texts]
-        self.learn(set().union(*split) if split else set())
+        self.learn(set().union(*split))
         known = self.known
-        return [[i for w in words for i in known[w]] for words in split]
+        return [(words, b" ".join([known[w] for w in words])) for words in split]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [numbers(line) for _, line in self.lines(texts)]
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids) -> bytes:
         tokens = self.tokens
         return b"".join([tokens[i] for i in ids])
 
 
+def numbers(line: bytes) -> np.ndarray:
+    return np.array(line.split(), np.int32) if line else np.zeros(0, np.int32)
+
+
+def ids_column(ids: list[np.ndarray]) -> pa.Array:
+    cuts = np.cumsum([0] + [len(i) for i in ids]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+
+
 def _shared(spark, path: str, pattern: str):
     """The rank file's bytes, read once on the driver; a vocabulary is a few MB at most."""
     with open(path, "rb") as f:
@@ -182,7 +199,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in row_slices(batches, SLICE):
             codec = codec or _task_codec(shared)
             ids = codec.encode([t or "" for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*carried, "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids_column(ids)], names=[*carried, "ids"])
 
     kinds = dict(docs.dtypes)
     return docs.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carried) + ", ids array<int>")
@@ -213,19 +230,13 @@ def round_trip_digest(docs: DataFrame, path: str, pattern: str, key: str = "doc_
         codec = None
         for batch in row_slices(batches, SLICE):
             codec = codec or _task_codec(shared)
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            split = [codec.split(t) for t in texts]
-            codec.learn(set().union(*split))
-            known, names, back = codec.known, {}, {}
+            back: dict[str, bytes] = {}
             count, ids_digest, text_digest = [], [], []
-            for words in split:
-                for w in words:
-                    if w not in names:
-                        ids = known[w]
-                        names[w] = (" ".join(map(str, ids)), len(ids))
-                        back[w] = codec.decode(ids)
-                count.append(sum([names[w][1] for w in words]))
-                ids_digest.append(hashlib.sha256(" ".join([names[w][0] for w in words]).encode()).hexdigest())
+            for words, line in codec.lines([t or "" for t in batch.column("text").to_pylist()]):
+                for w in set(words).difference(back):
+                    back[w] = codec.decode(map(int, codec.known[w].split()))
+                count.append(line.count(b" ") + 1 if line else 0)
+                ids_digest.append(hashlib.sha256(line).hexdigest())
                 text_digest.append(hashlib.sha256(b"".join([back[w] for w in words])).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(count, pa.int64()), pa.array(ids_digest), pa.array(text_digest)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -245,10 +256,10 @@ def encode_verified(docs: DataFrame, path: str, pattern: str, key: str = "doc_id
             ids = codec.encode(texts)
             digest = []
             for text, own in zip(texts, ids):
-                back = codec.decode(own)
+                back = codec.decode(own.tolist())
                 if back != text.encode():
                     raise ValueError("a text does not come back from its ids")
                 digest.append(hashlib.sha256(back).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(digest)], names=[key, "n_tokens", "ids", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([len(i) for i in ids], pa.int64()), ids_column(ids), pa.array(digest, pa.string())], names=[key, "n_tokens", "ids", "decoded_sha256"])
 
     return docs.select(key, "text").mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, n_tokens long, ids array<int>, decoded_sha256 string")

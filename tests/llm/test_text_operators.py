@@ -157,7 +157,7 @@ def test_bpe_equals_the_library_and_comes_back(encoding, frame):
     texts = ["".join(chr(rng.choice(pool)) for _ in range(rng.randrange(120))) for _ in range(400)]
     texts += ["a" * 3000, "the" * 500, "  \n\n  ", "'s 've", "<|endoftext|>", "", "1234567890" * 20]
     codec = bpe.Codec(ranks, public_tokenizers.PATTERN)
-    ids = codec.encode(texts)
+    ids = [i.tolist() for i in codec.encode(texts)]
     assert ids == [other.encode_ordinary(t) for t in texts]
     assert [codec.decode(i).decode() for i in ids] == texts
     docs = frame([(i, t) for i, t in enumerate(texts)] + [(10_000, None)], "doc_id long, text string").withColumn("ids", F.lit("clash"))
@@ -177,9 +177,6 @@ def test_bpe_equals_the_library_and_comes_back(encoding, frame):
 
 def test_bpe_lower_rank_made_by_a_merge_goes_first():
     ranks = {bytes([b]): b for b in range(256)} | {b"bc": 300, b"abc": 280, b"ab": 310, b"cb": 290}
-    enc = tiktoken.Encoding("own", pat_str=r"\w+", mergeable_ranks=ranks, special_tokens={}) if False else None
-    assert enc is None
-
     def plain(word):
         parts = [bytes([b]) for b in word]
         while True:
