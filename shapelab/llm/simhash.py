@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, row_slices
+from .common import cut, free, mix64, row_slices, shuffle_partitions
 
 SEED = 42
 _HALF = 32
@@ -119,6 +119,8 @@ def links(nodes: DataFrame, distance: int = 3, limit: int = 64) -> DataFrame:
     three bits (or fewer, by distance)."""
     if not 0 <= distance <= 3:
         raise ValueError("two segments leave one with one differing bit only up to distance 3")
+    # Few bytes become many rows: dealt out before, so that all tasks share the expansion.
+    nodes = nodes.select("fp").repartition(4 * shuffle_partitions(nodes.sparkSession), "fp")
     variants, found = _first_variants(nodes), []
     place = ["mask", "wild", "sig"]
     for depth in range(4):
@@ -126,6 +128,7 @@ def links(nodes: DataFrame, distance: int = 3, limit: int = 64) -> DataFrame:
         sizes = rows.groupBy(*place).agg(F.count("*").alias("n"), F.min("side").alias("s0"), F.max("side").alias("s1"))
         shared = sizes.where((F.col("n") > 1) & ((F.col("wild") == 0) | (F.col("s0") != F.col("s1")))).select(*place, "n")
         members = cut(rows.join(shared, place))
+        free(nodes.sparkSession)  # the index is larger than what is shared of it
         small = members.where(F.col("n") <= limit) if depth < 3 else members
         a = small.where((F.col("wild") == 0) | ~F.col("side")).select(*place, F.col("fp").alias("a"))
         b = small.where((F.col("wild") == 0) | F.col("side")).select(*place, F.col("fp").alias("b"))
@@ -192,6 +195,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     Rows that repeat that key are kept once; a group without any key keeps one row."""
     named = cut(near_duplicates(docs.select(key, "text"), key, **options))
     gone = named.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__gone_key")).distinct()
+    free(docs.sparkSession)
     kept = docs.join(gone, F.col(key).eqNullSafe(F.col("__gone_key")), "left_anti")
     twice = cut(named.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(key).count().where("count > 1").select(F.col(key).alias("__twice_key")))
     if twice.isEmpty():
