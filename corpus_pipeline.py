@@ -4,8 +4,7 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before kept
 
 1. toxicity: rows scored 0.7 or more go.
 2. near_dedup: of each group of near copies the row with the smallest doc_id stays.
-   Rows are linked if one of FINGERPRINTS independent SimHash fingerprints differs in
-   three bits at most; several fingerprints find copies that one would miss.
+   Rows are linked if their sets of five-word shingles share 0.8 of their union or more.
 3. substring_dedup: words in 20-word windows that occur earlier are cut out; rows that
    held nothing else go, all other rows stay.
 4. decontamination: rows that hold a benchmark item within its edit budget go.
@@ -20,12 +19,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapelab.llm import bpe, decontam, simhash, substring, toxicity
+from shapelab.llm import bpe, decontam, neardup, substring, toxicity
 from shapelab.llm.common import cut
 from shapelab.llm.queries import rank_file, table
 
-FINGERPRINTS = 4
-
 
 def toxic_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
@@ -33,7 +30,7 @@ def toxic_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs, count=FINGERPRINTS)
+    return neardup.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -193,7 +193,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", width: int = 3, count:
 def one_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The rows of docs that name their component: the smallest key of each group stays.
     Rows that repeat that key are kept once; a group without any key keeps one row."""
-    named = cut(near_duplicates(docs.select(key, "text"), key, **options))
+    return keep_named(docs, cut(near_duplicates(docs.select(key, "text"), key, **options)), key)
+
+
+def keep_named(docs: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """The rows of docs whose key is the component_id that named gives them."""
     gone = named.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__gone_key")).distinct()
     free(docs.sparkSession)
     kept = docs.join(gone, F.col(key).eqNullSafe(F.col("__gone_key")), "left_anti")

@@ -68,3 +68,44 @@ def test_columns_with_clashing_names_pass_through(spark, folder):
         frame = stage(spark, frame, folder[0])
         assert frame.columns == columns
         assert all(r[n] == f"{n}{r.doc_id}" for r in frame.collect() for n in names)
+
+
+def test_near_dedup_takes_the_planted_near_copy(spark, folder):
+    frame = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, folder[0]).select("doc_id").collect()}
+    assert kept == set(folder[1]) - {301, 302} | {400}
+
+
+def test_near_dedup_equals_brute_force(spark, folder):
+    rng = random.Random(31)
+    rows = []
+    for _ in range(12):
+        words = [str(rng.randrange(10**6)) for _ in range(rng.choice([5, 9, 40, 120, 400]))]
+        for _ in range(8):
+            copy = list(words)
+            for _ in range(rng.randrange(1 + len(words) // 30)):
+                copy[rng.randrange(len(copy))] = "Changed"
+            rows.append(" ".join(copy[: len(copy) - rng.randrange(1 + len(copy) // 5)]))
+    rows += [None, "", " \n", "one", "ONE", "one two", "a b c d", "a b c d e", "a b c d f", "z " * 20_000, rows[5].upper()]
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    rows = [(i, rows[k]) for i, k in enumerate(order)]
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, folder[0]).collect())
+    assert kept == [i for i in range(len(rows)) if find(i) == i] and len(kept) > 20
