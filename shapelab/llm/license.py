@@ -2,8 +2,8 @@
 
 A text is reduced to its words (A-Z lower-cased; runs of digits, letters and all
 characters beyond ASCII) joined by one space.  Hundreds of regular expressions,
-three forms for each signature below, are tried on that line, each only if its
-keyword occurs in it at all.  Overlapping detections are resolved in order of
+three forms for each signature below, are tried on that line, each only if a literal
+that its every match holds occurs in it at all.  Overlapping detections are resolved in order of
 priority, then of length, then of place: one that lies within an interval already
 taken by an equal or higher priority is suppressed, so `gnu lesser general public
 license version 3` yields one label and not four.
@@ -17,6 +17,7 @@ score 0; equal detections count once.
 from __future__ import annotations
 
 import re
+from re import _parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -161,22 +162,39 @@ llama|llama|llama (?:2|3) community license(?: agreement)?|llama2
 _VERSION = r"(?:v|v |ver |version )?"
 
 
-def rules() -> list[tuple[str, int, bytes, re.Pattern]]:
-    """(label, priority, keyword, expression), in order of priority: a tagged identifier,
+def needed(tree) -> tuple[str, ...]:
+    """Literals of which every match of a parsed expression holds one, () if there are none."""
+    best, run = (), ""
+    for op, arg in [*tree, (None, None)]:
+        if op is _parser.LITERAL:
+            run += chr(arg)
+            continue
+        found, run = [(run,) if run else ()], ""
+        if op is _parser.SUBPATTERN:
+            found.append(needed(arg[-1]))
+        elif op is _parser.BRANCH:
+            ways = [needed(way) for way in arg[1]]
+            found.append(tuple(x for way in ways for x in way) if all(ways) else ())
+        best = max([best, *found], key=lambda f: min(map(len, f), default=0))
+    return best
+
+
+def rules() -> list[tuple[str, int, tuple[bytes, ...], re.Pattern]]:
+    """(label, priority, gates, expression), in order of priority: a tagged identifier,
     a grant that names the licence, the name with a version, the bare name."""
     out = []
     for line in SIGNATURES.strip().splitlines():
-        label, keyword, name, short = _fields(line)
-        name = name.replace(" V", f",? {_VERSION}").replace(",?", "")
+        label, _, name, short = _fields(line)
+        name = name.replace("V", _VERSION)
         versioned = any(c.isdigit() for c in label)
         forms = [
-            (90, b"spdx", rf"spdx license identifier {short}"),
-            (80 if versioned else 70, keyword.encode(), rf"(?:licen[cs]ed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?{name}"),
-            (60 if versioned else 50, keyword.encode(), name),
+            (90, rf"spdx license identifier {short}"),
+            (80 if versioned else 70, rf"(?:licen[cs]ed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?{name}"),
+            (60 if versioned else 50, name),
         ]
         if versioned and " " in short:
-            forms.append((40, short.split(" ")[0].encode(), short))
-        out += [(label, p, k, re.compile(rf"(?<= )(?:{x})(?= )".encode())) for p, k, x in forms]
+            forms.append((40, short))
+        out += [(label, p, tuple(k.encode() for k in needed(_parser.parse(x))) or (b"",), re.compile(rf"(?<= )(?:{x})(?= )".encode())) for p, x in forms]
     return sorted(out, key=lambda r: (-r[1], r[0]))
 
 
@@ -213,9 +231,9 @@ def resolved(found: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int
 
 class Scanner:
     def __init__(self):
-        self.gates: dict[bytes, list] = {}
-        for label, priority, keyword, expression in rules():
-            self.gates.setdefault(keyword, []).append((label, priority, expression))
+        self.gates: dict[tuple[bytes, ...], list] = {}
+        for label, priority, gates, expression in rules():
+            self.gates.setdefault(gates, []).append((label, priority, expression))
         self.base = [(f" {phrase} ".encode(), len(phrase.split()), label) for phrase, label in BASE.items()]
 
     def scan(self, text: bytes):
@@ -229,8 +247,8 @@ class Scanner:
                 base_labels.add(label)
                 at = line.find(phrase, at + 1)
         found = []
-        for keyword, gated in self.gates.items():
-            if keyword in line:
+        for gates, gated in self.gates.items():
+            if any(g in line for g in gates):
                 for label, priority, expression in gated:
                     found += [(priority, m.start(), m.end(), label) for m in expression.finditer(line)]
         words = [line.count(b" ", 0, p) for p in ((min(places), max(places)) if places else ())]

@@ -188,3 +188,49 @@ def test_bpe_lower_rank_made_by_a_merge_goes_first():
     rng = random.Random(4)
     words = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 14))) for _ in range(500)]
     assert bpe.replay(words, ranks) == [plain(w) for w in words]
+
+
+@pytest.mark.parametrize(
+    "text, label",
+    [
+        ("licensed under the GPLv2", "gpl-2.0-v"),
+        ("GPLv3 or later", "gpl-3.0-v"),
+        ("Common Development and Distribution License 1.0", "cddl-1.0"),
+        ("do what the fuck you want to public license", "wtfpl"),
+        ("PNG Reference Library License", "libpng"),
+    ],
+)
+def test_license_names_need_no_other_word(text, label):
+    assert label in {d[3] for d in license.Scanner().scan(text.encode())[4]}
+
+
+def _forms(tree):
+    """Strings that a parsed expression matches, with every branch and option."""
+    from re import _parser as p
+
+    out = {""}
+    for op, arg in tree:
+        if op is p.LITERAL:
+            ways = {chr(arg)}
+        elif op is p.IN:
+            ways = {chr(c) for _, c in arg}
+        elif op is p.BRANCH:
+            ways = {w for way in arg[1] for w in _forms(way)}
+        elif op is p.SUBPATTERN:
+            ways = _forms(arg[-1])
+        elif op is p.MAX_REPEAT:
+            ways = {""} | _forms(arg[2])
+        else:
+            ways = {""}  # the spaces around
+        out = {a + w for a in out for w in ways}
+    return out
+
+
+def test_license_gates_let_every_match_through():
+    from re import _parser as p
+
+    for label, _, gates, expression in license.rules():
+        for form in _forms(p.parse(expression.pattern.decode())):
+            line = f" {form} ".encode()
+            assert license.line_of(line)[0] == line, (label, form)
+            assert expression.search(line) and any(g in line for g in gates), (label, form)
