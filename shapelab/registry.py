@@ -264,7 +264,7 @@ def prose_ratio(spark, d):
 
 @register("profile_json_skeleton", "SELECT path, string_agg(leaf, '|' ORDER BY leaf) AS leaf FROM (SELECT DISTINCT path, CASE WHEN t IN ('OBJECT', 'ARRAY', 'BOOLEAN', 'NULL') THEN lower(t) WHEN t = 'VARCHAR' THEN 'string' ELSE 'number' END AS leaf FROM (SELECT '$' AS path, json_type(props) AS t FROM events UNION ALL SELECT '$.' || k AS path, json_type(props, '$.' || k) AS t FROM (SELECT props, unnest(json_keys(props)) AS k FROM events))) GROUP BY path")
 def json_skeleton(spark, d):
-    return jsonshape.skeleton(table(spark, d, "events"), "props", levels=3)
+    return jsonshape.skeleton(table(spark, d, "events"), "props")
 
 
 _FACT_COLUMNS = {"orders": (["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"])}

@@ -117,3 +117,14 @@ def test_streamed_parts_merge_to_the_whole(spark, tmp_path):
     query.stop()
     got = {r.column_name: r for r in incremental.merge(spark.read.parquet(out).drop("batch")).collect()}
     assert (got["v"].row_count, got["v"].min_value, got["v"].max_value) == (100, 0.0, 6.0)
+
+
+def test_registered_json_skeleton_reaches_every_level(spark, tmp_path):
+    from shapelab import registry
+
+    doc = "1"
+    for _ in range(12):
+        doc = '{"k": ' + doc + "}"
+    spark.createDataFrame([(doc,), (None,), ('{"a": [{"b": true}]}',)], "props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.path: r.leaf for r in registry.QUERIES["profile_json_skeleton"](spark, str(tmp_path)).collect()}
+    assert got["$" + ".k" * 12] == "number" and got["$.a[].b"] == "boolean" and len(got) == 16
