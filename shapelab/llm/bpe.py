@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import row_slices
+from .common import bound_batches, lean, row_slices
 
 SLICE = 2 << 20
 KEEP_WORDS = 1 << 19
@@ -176,6 +176,7 @@ def ids_column(ids: list[np.ndarray]) -> pa.Array:
 
 def _shared(spark, path: str, pattern: str):
     """The rank file's bytes, read once on the driver; a vocabulary is a few MB at most."""
+    bound_batches(spark)
     with open(path, "rb") as f:
         data = f.read()
     if len(data) > 64 << 20:
@@ -202,7 +203,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, ids_column(ids)], names=[*carried, "ids"])
 
     kinds = dict(docs.dtypes)
-    return docs.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carried) + ", ids array<int>")
+    return docs.mapInArrow(lean(run), ", ".join(f"`{c}` {kinds[c]}" for c in carried) + ", ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -218,7 +219,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], pa.array(data, pa.binary())], names=[*carried, "decoded"])
 
     kinds = dict(encoded.dtypes)
-    return encoded.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carried) + ("," if carried else "") + " decoded binary")
+    return encoded.mapInArrow(lean(run), ", ".join(f"`{c}` {kinds[c]}" for c in carried) + ("," if carried else "") + " decoded binary")
 
 
 def round_trip_digest(docs: DataFrame, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
@@ -240,7 +241,7 @@ def round_trip_digest(docs: DataFrame, path: str, pattern: str, key: str = "doc_
                 text_digest.append(hashlib.sha256(b"".join([back[w] for w in words])).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(count, pa.int64()), pa.array(ids_digest), pa.array(text_digest)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(key, "text").mapInArrow(lean(run), f"`{key}` {dict(docs.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_verified(docs: DataFrame, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
@@ -262,4 +263,4 @@ def encode_verified(docs: DataFrame, path: str, pattern: str, key: str = "doc_id
                 digest.append(hashlib.sha256(back).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([len(i) for i in ids], pa.int64()), ids_column(ids), pa.array(digest, pa.string())], names=[key, "n_tokens", "ids", "decoded_sha256"])
 
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, n_tokens long, ids array<int>, decoded_sha256 string")
+    return docs.select(key, "text").mapInArrow(lean(run), f"`{key}` {dict(docs.dtypes)[key]}, n_tokens long, ids array<int>, decoded_sha256 string")

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
+import re
+import sys
 import tempfile
+from contextlib import contextmanager
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,26 +22,89 @@ _ODD = 0x9E3779B97F4A7C15
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names; set one only where none is set."""
+    """Use the folder that the cluster names; a local master may do with a temporary one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="shapelab-checkpoint-"))
 
 
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str):
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def _dropping_shuffles(spark: SparkSession):
+    """While it holds, a query's shuffle files go as soon as the query has ended."""
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Compute df now, keep it in the shared checkpoint folder and cut its lineage."""
+    """Compute df now, keep it in the shared checkpoint folder and cut its lineage; for
+    what a result still reads when the operator has returned."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _dropping_shuffles(df.sparkSession):
+        return df.checkpoint(eager=True)
+
+
+def stash(df: DataFrame) -> DataFrame:
+    """Compute df now into a Parquet table in the shared checkpoint folder, until release()."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid4().hex}"
+    with _dropping_shuffles(spark):
+        df.write.parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._stashed_at = path
+    return kept
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the tables of frames that stash() gave."""
+    for df in frames:
+        session = df.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(df._stashed_at)
+        path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
 
+def bound_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+    """Let no Arrow batch on its way to Python pass limit bytes (one row may), however long
+    texts are; the session keeps the setting, since results are computed later."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.rstrip("b").isdigit() or int(now.rstrip("b")) > limit:
+        spark.conf.set(key, str(limit))
 
-def free(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of frames that nothing refers to any more."""
-    import gc
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def trim() -> None:
+    """Give freed memory of this process back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux") and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def lean(run):
+    """run(batches), whose worker gives memory back before and after the task."""
+
+    def tidy(batches):
+        trim()
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return tidy
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -132,37 +201,50 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_IS_WHITE = np.zeros(256, bool)
+_IS_WHITE[list(WHITE)] = True
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray):
+    """(start, end, row) of every word of concatenated texts; a row ends a word too."""
+    n, rows = len(data), len(offsets) - 1
+    inside = np.zeros(n + 2, bool)
+    np.logical_not(_IS_WHITE[data], out=inside[1 : n + 1])
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    starts = np.flatnonzero(inside[1 : n + 1] & (~inside[:n] | edge[:n]))
+    ends = np.flatnonzero(inside[1 : n + 1] & (~inside[2:] | edge[1:])) + 1
+    return starts, ends, np.repeat(np.arange(rows), np.diff(np.searchsorted(starts, offsets)))
+
+
 class WordHasher:
-    """Splits concatenated texts at white space and hashes each word to 64 bits."""
+    """Splits concatenated texts at white space and hashes each word to 64 bits.  Memory
+    beyond the bounds of the words is that of one piece of PIECE bytes."""
+
+    PIECE = 1 << 20
 
     def __init__(self, seed: int = 0):
-        self.base = (_ODD + 2 * seed) % 2**64 | 1
-        self.inverse = pow(self.base, -1, 2**64)
-        self.seed = np.uint64(seed)
-        self.powers = np.zeros(0, np.uint64)
-        self.back = np.zeros(0, np.uint64)
-        self.white = np.zeros(256, bool)
-        self.white[list(WHITE)] = True
+        self.seed = seed
+        base = (_ODD + 2 * seed) % 2**64 | 1
+        self.powers, self.back = odd_powers(base, self.PIECE), odd_powers(pow(base, -1, 2**64), self.PIECE)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray):
         """(hash, start, end, row) of every word; offsets are those of the rows."""
-        n = len(data)
-        if len(self.powers) < n:
-            self.powers, self.back = odd_powers(self.base, n), odd_powers(self.inverse, n)
-        inside = np.zeros(n + 2, np.int8)
-        inside[1 : n + 1] = ~self.white[data]
-        rows = len(offsets) - 1
-        edge = np.zeros(n + 1, bool)  # a row ends a word too
-        edge[offsets] = True
-        inner = inside[1:].astype(bool)
-        starts = np.flatnonzero(inner[:n] & (~inside[:n].astype(bool) | edge[:n]))
-        ends = np.flatnonzero(inside[1 : n + 1].astype(bool) & (~inner[1:] | edge[1 : n + 1])) + 1
-        row = np.repeat(np.arange(rows), np.diff(np.searchsorted(starts, offsets)))
-        sums = np.empty(n + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[:n], out=sums[1:])
-        code = (sums[ends] - sums[starts]) * self.back[starts] if len(starts) else np.zeros(0, np.uint64)
-        return mix64(code ^ ((ends - starts).astype(np.uint64) << np.uint64(40)) ^ self.seed), starts, ends, row
+        starts, ends, row = word_bounds(data, offsets)
+        code = np.empty(len(starts), np.uint64)
+        a = 0
+        while a < len(starts):
+            low = starts[a]
+            b = max(a + 1, int(np.searchsorted(ends, low + self.PIECE, side="right")))
+            piece = data[low : ends[b - 1]]
+            if len(piece) > self.PIECE:  # one word, which no other path hashes
+                code[a] = xxhash.xxh64_intdigest(piece.tobytes(), self.seed)
+            else:
+                sums = np.zeros(len(piece) + 1, np.uint64)
+                np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * self.powers[: len(piece)], out=sums[1:])
+                code[a:b] = (sums[ends[a:b] - low] - sums[starts[a:b] - low]) * self.back[starts[a:b] - low]
+            a = b
+        return mix64(code ^ ((ends - starts).astype(np.uint64) << np.uint64(40)) ^ np.uint64(self.seed)), starts, ends, row
 
 
 def rolling(codes: np.ndarray, width: int, base: int) -> np.ndarray:

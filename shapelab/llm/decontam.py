@@ -12,7 +12,10 @@ a larger benchmark takes further passes, never a larger broadcast.
 Words are runs of \\w, lower-cased.  Defined results: null and empty texts match
 nothing; items without a word match nothing; rows of the benchmark with the same
 words are all reported; of several places of an item in one text the one of the
-least distance counts, the earliest among equals.
+least distance counts, the earliest among equals.  Texts of any length are read
+whole; repeated rows are reported once each; an empty table on either side gives
+no match.  matches() reads the key and text alone, without_matches() passes all
+columns through, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_slices
+from .common import bound_batches, lean, row_slices
 
 BUDGET = 0.2
 SLICE_BYTES = 16 << 20
@@ -155,6 +158,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", budget:
     """One row for each text and item found in it: key, item_id, distance, item_words,
     start_word, end_word (the word after the last)."""
     spark = docs.sparkSession
+    bound_batches(spark)
     kind, item_kind = dict(docs.dtypes)[key], dict(benchmark.dtypes)["item_id"]
     schema = f"`{key}` {kind}, item_id {item_kind}, distance int, item_words int, start_word long, end_word long"
     rows = docs.where(F.col("text").isNotNull()).select(key, "text")
@@ -178,12 +182,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", budget:
                         names=[key, "item_id", "distance", "item_words", "start_word", "end_word"],
                     )
 
-        parts.append(rows.mapInArrow(run, schema))
+        parts.append(rows.mapInArrow(lean(run), schema))
     return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
 
 
 def without_matches(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
     """The rows of docs that hold no item, as they are; nothing is shuffled."""
+    bound_batches(docs.sparkSession)
     for items in _slices(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
@@ -193,5 +198,5 @@ def without_matches(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGE
                 matcher = matcher or Matcher(shared.value, budget)
                 yield batch.filter(pa.array([not matcher.find(t) for t in batch.column("text").to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

@@ -13,7 +13,10 @@ column = byte, so scoring a text is two gathers for each byte.
 
 Defined results: null texts and texts without a letter are `und` with score 0;
 equal code lengths go to the language that sorts first; no labelled row at all
-gives `und` throughout.
+gives `und` throughout.  Texts of any length are scored whole, block by block;
+repeated rows get equal results, and an empty table gives an empty one.  Only the
+key, text and a column held_out, which is passed through, are read; other columns
+may have any names.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, row_slices, utf8_view
+from .common import bound_batches, lean, row_slices, utf8_view
 
 ORDER = 3
 START = 10  # the byte that is taken to stand before a text
@@ -154,8 +157,12 @@ def code_lengths(tree: ContextTree, data: np.ndarray, offsets: np.ndarray) -> np
 
 
 def train(labelled: DataFrame, docs_per_lang: int = 1500, max_nodes: int = 1 << 15, min_count: int = 3, seed: int = 7):
-    """Count contexts on about docs_per_lang labelled texts of each language (this
-    bounds what reaches the driver) and freeze them.  None if there is no text."""
+    """Count contexts on about docs_per_lang labelled texts of each language and freeze
+    them.  None if there is no text.  docs_per_lang bounds the labelled rows.  max_nodes and
+    min_count bound the frozen tree, which every worker holds (at most (max_nodes + 2**16) x
+    257 costs a language, in practice 10 MB): a rarer context is left to the next shorter
+    one, as PPM leaves one that it has never seen."""
+    bound_batches(labelled.sparkSession)
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
     if not sizes:
@@ -163,7 +170,7 @@ def train(labelled: DataFrame, docs_per_lang: int = 1500, max_nodes: int = 1 <<
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, docs_per_lang / n)))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2**31)) / F.lit(float(2**31))
     sample = labelled.where(draw < share[F.col("lang")]).select("lang", "text")
-    counted = sample.mapInArrow(gram_rows, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    counted = sample.mapInArrow(lean(gram_rows), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     rows = []
     for lang in sorted(set(counted["lang"].to_pylist())):
         part = counted.filter(pa.compute.equal(counted["lang"], lang))
@@ -179,11 +186,13 @@ def identify(docs: DataFrame, tree: ContextTree | None, key: str = "doc_id") ->
     carried = [c for c in rows.columns if c not in ("text", "has_letter")]
     if tree is None:
         return rows.select(*carried, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_byte"))
-    shared = spark.sparkContext.broadcast(tree)
+    bound_batches(spark)
+    # Plain arrays: executors unpickle a broadcast without this package on their path.
+    shared = spark.sparkContext.broadcast((tree.langs, tree.classes, tree.node_of, tree.bits))
     kinds = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in carried)
 
     def score(batches):
-        tree = shared.value
+        tree = ContextTree(*shared.value)
         for batch in row_slices(batches, SLICE):
             data, offsets = utf8_view(batch.column("text"))
             total = code_lengths(tree, data, offsets)
@@ -202,4 +211,4 @@ def identify(docs: DataFrame, tree: ContextTree | None, key: str = "doc_id") ->
                 names=[*carried, "lang_pred", "score", "bits_per_byte"],
             )
 
-    return rows.mapInArrow(score, f"{kinds}, lang_pred string, score double, bits_per_byte double")
+    return rows.mapInArrow(lean(score), f"{kinds}, lang_pred string, score double, bits_per_byte double")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_slices
+from .common import bound_batches, lean, row_slices
 
 # Phrases and labels of the contract.
 BASE = {
@@ -269,6 +269,7 @@ def _resolved_fast(found):
 
 def scan(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, n_words, n_base, first_word, last_word, base_labels, labels, score, n_detections."""
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         scanner = Scanner()
@@ -288,4 +289,4 @@ def scan(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(key), *[pa.array(v, types.get(c, pa.int64())) for c, v in out.items()]], names=[key, *out])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_detections long")
+    return docs.select(key, "text").mapInArrow(lean(run), f"`{key}` {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_detections long")

@@ -1,10 +1,13 @@
-"""Near copies by the similarity of their five-word shingle sets.
+"""SimHash near-dedup by similarity: one row of each group of near copies.
 
 Two texts are linked if their sets of five-word shingles share 0.8 or more of their
-union.  Every link is decided on the whole sets; minimum hashes only name the pairs
-to compare: BANDS bands of ROWS minima each, and texts that agree in a whole band are
-compared.  A pair of similarity s is missed with a chance of (1 - s**ROWS)**BANDS,
-5e-8 at 0.8.  Equal sets are one node and need no comparison.
+union.  Every link is decided on the whole sets.  The pairs to decide come from the
+deletion-variant index of simhash.py over one fingerprint of the five-word shingles,
+and, since fingerprints within three bits are no more than half of the pairs at 0.8
+(README), from minimum hashes as well: BANDS bands of ROWS minima each, and texts that
+agree in a whole band are compared.  A pair of similarity s is missed by the bands
+with a chance of (1 - s**ROWS)**BANDS, 5e-8 at 0.8.  Equal sets are one node and need
+no comparison.
 
 Each band's members are compared with one of them first, another one in each band, so
 a large group of near copies falls together without its pairs being listed; after that
@@ -12,8 +15,12 @@ all pairs of a band are compared that are still in different components.
 
 Defined results: words are split at white space and A-Z lower-cased; a text of one to
 four words is one shingle; texts without a word (null, empty, white space) are copies
-of one another; the smallest key that is not null names a component.  Shingles and
-sets are told apart by 64 hash bits.
+of one another; texts of any length are taken whole.  Of a group the row with the
+smallest key that is not null stays; where keys tie or all are null, that with the
+smallest text hash.  Rows that share a key but not a group are judged apart; rows that
+repeat key and text are copies, one of which stays.  An empty table stays empty; other
+columns pass through whatever their names.  Shingles are told apart by 64 hash bits,
+sets and texts by 128.
 """
 
 from __future__ import annotations
@@ -24,8 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, distinct, free, mix64, row_slices
-from .simhash import components, keep_named, shingle_hashes
+from .common import bound_batches, cut, distinct, lean, mix64, release, row_slices, stash
+from .simhash import components, links, majority, shingle_hashes
 
 WIDTH = 5
 ROWS, BANDS = 4, 32
@@ -35,11 +42,6 @@ _FACTORS = mix64(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 _BAND = mix64(np.arange(1001, 1001 + ROWS, dtype=np.uint64)) | np.uint64(1)
 
 
-def shingle_set(text: bytes | None) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a text."""
-    return distinct(shingle_hashes(text or b"", WIDTH))
-
-
 def bands(shingles: np.ndarray) -> np.ndarray:
     """One hash a band of the minima of its ROWS orders of the shingles."""
     low = np.full(ROWS * BANDS, 2**64 - 1, np.uint64)
@@ -48,39 +50,45 @@ def bands(shingles: np.ndarray) -> np.ndarray:
     return mix64((mix64(low).reshape(BANDS, ROWS) * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
 
 
-def _node(shingles: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(shingles.tobytes()) - 2**63
+def _name(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
+def _lists(arrays) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
 
 
 def _prints(docs: DataFrame, key: str) -> DataFrame:
-    """key, node, size and bands of every row."""
+    """key, mark, name of the set, its size, fingerprint and bands, of every row."""
 
     def run(batches):
         for batch in row_slices(batches, 4 << 20):
-            nodes, sizes, found = [], [], []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                shingles = shingle_set(text)
-                nodes.append(_node(shingles))
+            names, sizes, prints, found = [], [], [], []
+            for text in batch.column("text").cast(pa.binary()):
+                hashes = shingle_hashes(text.as_py() or b"", WIDTH)
+                shingles = distinct(hashes)
+                names.append(_name(shingles))
                 sizes.append(len(shingles))
+                prints.append(majority(hashes))
                 found.append(bands(shingles).view(np.int64) if len(shingles) >= _LEAST else np.zeros(0, np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            flat = pa.array(np.concatenate(found))
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=[key, "node", "size", "bands"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key), batch.column("__mark"), pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), _lists(found)], names=[key, "__mark", "name", "size", "fp", "bands"]
+            )
 
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, node long, size int, bands array<long>")
+    rows = docs.select(key, "text", F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("__mark"))
+    return rows.mapInArrow(lean(run), f"`{key}` {dict(docs.dtypes)[key]}, __mark string, name binary, size int, fp long, bands array<long>")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """node and its shingles."""
+def _sets(texts: DataFrame) -> DataFrame:
+    """name of each text's set and its shingles."""
 
     def run(batches):
         for batch in row_slices(batches, 4 << 20):
-            found = [shingle_set(text) for text in batch.column("text").cast(pa.binary()).to_pylist()]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            flat = pa.array(np.concatenate(found).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in found], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["node", "shingles"])
+            found = [distinct(shingle_hashes(text.as_py() or b"", WIDTH)) for text in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in found], pa.binary()), _lists([x.view(np.int64) for x in found])], names=["name", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "node long, shingles array<long>")
+    return texts.select("text").mapInArrow(lean(run), "name binary, shingles array<long>")
 
 
 def _near_sizes(x, y):
@@ -97,42 +105,76 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(9 * shared >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key and component_id of every row of docs."""
-    spark = docs.sparkSession
-    prints = cut(_prints(docs, key))
-    nodes = cut(prints.groupBy("node").agg(F.min(key).alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+def _pairs_of(found: DataFrame) -> DataFrame:
+    return found.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _near_prints(nodes: DataFrame) -> DataFrame:
+    """(a, b): nodes whose fingerprints are within three bits, through one node of each fingerprint."""
+    prints = nodes.where(F.col("size") >= _LEAST).select("node", "size", "fp")
+    lead = stash(prints.groupBy("fp").agg(F.min(F.struct(F.col("node").alias("lead"), F.col("size").alias("lead_size"))).alias("l")).select("fp", "l.*"))
+    near = links(lead.select("fp"))
+    ends = near.join(lead.select(F.col("fp").alias("a"), F.col("lead").alias("x"), F.col("lead_size").alias("sx")), "a").join(lead.select(F.col("fp").alias("b"), F.col("lead").alias("y"), F.col("lead_size").alias("sy")), "b")
+    same = prints.join(lead, "fp").select(F.col("node").alias("x"), F.col("lead").alias("y"), F.col("size").alias("sx"), F.col("lead_size").alias("sy"))
+    both = ends.select("x", "y", "sx", "sy").union(same).where(_near_sizes(F.col("sx"), F.col("sy")))
+    pairs = stash(_pairs_of(both))
+    release(lead, near)
+    return pairs
+
+
+def grouped(docs: DataFrame, key: str = "doc_id"):
+    """((key, __mark, root) of every row of docs(key, text), the tables it reads): rows of one
+    root are near copies; __mark is a hash of the text."""
+    bound_batches(docs.sparkSession)
+    prints = stash(_prints(docs, key))
+    named = prints.groupBy("name").agg(F.min(F.struct(key, "__mark")).alias("one"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    nodes = stash(named.withColumn("node", F.monotonically_increasing_id()))
     rows = nodes.select("node", "size", F.explode("bands").alias("band"))
     lead = F.min_by(F.struct(F.col("node").alias("lead"), F.col("size").alias("lead_size")), F.xxhash64("node", "band")).alias("l")
     shared = rows.groupBy("band").agg(F.count("*").alias("n"), lead).where("n > 1").select("band", "l.*")
-    members = cut(rows.join(shared, "band"))
-    free(spark)
-
-    wanted = members.select("node").distinct().join(nodes.select("node", "least"), "node").select("node", F.col("least").alias("__least_key"))
-    texts = docs.select(key, "text").join(wanted.select("__least_key").distinct(), F.col(key).eqNullSafe(F.col("__least_key")), "left_semi")
-    sets = cut(_sets(texts).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    free(spark)
-
-    first = members.where((F.col("node") != F.col("lead")) & _near_sizes(F.col("size"), F.col("lead_size")))
-    first = cut(first.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
-    links = cut(_similar(first, sets))
-    placed = members.select("band", "node", "size").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = stash(rows.join(shared, "band"))
+    close = _near_prints(nodes)
+
+    wanted = members.select("node").union(close.select("a")).union(close.select("b")).distinct().join(nodes.select("node", "name", "one"), "node")
+    texts = docs.select(key, "text").join(wanted.select(F.col(f"one.{key}").alias("__least_key"), F.col("one.__mark").alias("__least_mark")).distinct(), F.col(key).eqNullSafe(F.col("__least_key")) & (F.md5(F.coalesce(F.col("text"), F.lit(""))) == F.col("__least_mark")), "left_semi")
+    sets = stash(_sets(texts).dropDuplicates(["name"]).join(wanted.select("node", "name"), "name").select("node", "shingles"))
+
+    first = members.where((F.col("node") != F.col("lead")) & _near_sizes(F.col("size"), F.col("lead_size"))).select(F.col("node").alias("x"), F.col("lead").alias("y"))
+    first = stash(_pairs_of(first).union(close).distinct())
+    alike = stash(_similar(first, sets))
+    root = components(alike)
+    placed = members.select("band", "node", "size").join(root.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("band")
-    placed = cut(placed.join(mixed, "band", "left_semi"))
-    roots = placed.select("band", "root").distinct()
+    apart = stash(placed.join(mixed, "band", "left_semi"))
+    roots = apart.select("band", "root").distinct()
     x = roots.withColumnRenamed("root", "x").join(roots.withColumnRenamed("root", "y"), "band").where("x < y")
-    x = x.join(placed.select("band", F.col("root").alias("x"), F.col("node").alias("nx"), F.col("size").alias("sx")), ["band", "x"])
-    x = x.join(placed.select("band", F.col("root").alias("y"), F.col("node").alias("ny"), F.col("size").alias("sy")), ["band", "y"])
-    rest = x.where(_near_sizes(F.col("sx"), F.col("sy"))).select(F.least("nx", "ny").alias("a"), F.greatest("nx", "ny").alias("b")).distinct()
-    links = cut(links.union(_similar(cut(rest.join(first, ["a", "b"], "left_anti")), sets)))
-    free(spark)
+    x = x.join(apart.select("band", F.col("root").alias("x"), F.col("node").alias("nx"), F.col("size").alias("sx")), ["band", "x"])
+    x = x.join(apart.select("band", F.col("root").alias("y"), F.col("node").alias("ny"), F.col("size").alias("sy")), ["band", "y"])
+    rest = stash(_pairs_of(x.where(_near_sizes(F.col("sx"), F.col("sy"))).select(F.col("nx").alias("x"), F.col("ny").alias("y"))).join(first, ["a", "b"], "left_anti"))
+    all_links = stash(alike.union(_similar(rest, sets)))
+    release(members, close, sets, first, root, apart, rest, alike)
 
-    rooted = nodes.select("node", "least").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("node", "component_id")
-    return prints.select(key, "node").join(named, "node").drop("node")
+    root = components(all_links)
+    rooted = stash(nodes.select("node", "name").join(root.select("node", "root"), "node", "left").select("name", F.coalesce("root", "node").alias("root")))
+    release(all_links, root, nodes)
+    return prints.select(key, "__mark", "name").join(rooted, "name").select(key, "__mark", "root"), [prints, rooted]
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of docs that name their component, as simhash.one_of_each keeps them."""
-    return keep_named(docs, cut(near_duplicates(docs.select(key, "text"), key)), key)
+    """The rows of docs that stay, as they are."""
+    named, used = grouped(docs.select(key, "text"), key)
+    row = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), F.col("__mark").alias("mark"))
+    named = stash(named.groupBy("root", key, "__mark").agg(F.count("*").alias("rows")))
+    release(*used)
+    kept = named.groupBy("root").agg(F.min(row).alias("kept"))
+    judged = named.join(kept, "root").select(F.col(key).alias("__judged_key"), F.col("__mark").alias("__judged_mark"), "rows", row.eqNullSafe(F.col("kept")).alias("stays"))
+    gone = cut(judged.where("not stays or rows > 1"))
+    release(named)
+    mark = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    this = F.col(key).eqNullSafe(F.col("__judged_key")) & (mark == F.col("__judged_mark"))
+    out = docs.join(gone.select("__judged_key", "__judged_mark"), this, "left_anti")
+    twice = gone.where("stays").select("__judged_key", "__judged_mark")
+    if twice.isEmpty():
+        return out
+    again = docs.join(twice, this, "left_semi").withColumn("__mark", mark).dropDuplicates([key, "__mark"]).drop("__mark")
+    return out.unionByName(again)

@@ -90,7 +90,7 @@ def op9_toxicity(spark, sf_dir):
 
 def op10_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 QUERIES = {f.__name__: f for f in (op1_language, op2_warc, op3_exact_topk, op4_url_filter, op5_decontamination, op6_substring_dedup, op7_license_scan, op8_byte_bpe, op9_toxicity, op10_simhash)}

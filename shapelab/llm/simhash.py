@@ -17,8 +17,11 @@ Connected components come from hooking and pointer jumping over tables; links,
 labels and fingerprints stay distributed.
 
 Defined results: texts without a word (null, empty, white space) have the
-fingerprint zero and are linked like any other; rows that repeat a fingerprint
-are one node; component_id is the smallest doc_id that is not null.
+fingerprint zero and are linked like any other; a text of any length is taken
+whole; rows that repeat a fingerprint are one node, so repeated rows and ties in
+the fingerprint are one group; component_id is the smallest doc_id that is not
+null, or null where a group has none.  An empty table gives an empty result.  Only
+the key and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free, mix64, row_slices, shuffle_partitions
+from .common import bound_batches, cut, lean, release, row_slices, shuffle_partitions, stash
 
 SEED = 42
 _HALF = 32
@@ -63,21 +66,15 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(count * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", width: int = 3, count: int = 1) -> DataFrame:
-    """key and fp0, fp1, ...: fp0 by XXH64, the others by remixed hashes of the same shingles."""
-    names = [f"fp{r}" for r in range(count)]
+def fingerprints(docs: DataFrame, key: str = "doc_id", width: int = 3) -> DataFrame:
+    """key and fp, the fingerprint, of every row."""
 
     def run(batches):
-        for batch in row_slices(batches, 16 << 20):
-            out = np.zeros((batch.num_rows, count), np.int64)
-            for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
-                if text:
-                    h = shingle_hashes(text, width)
-                    for r in range(count):
-                        out[i, r] = majority(mix64(h + np.uint64(r)) if r else h)
-            yield pa.RecordBatch.from_arrays([batch.column(key), *[pa.array(out[:, r]) for r in range(count)]], names=[key, *names])
+        for batch in row_slices(batches, 4 << 20):
+            found = [majority(shingle_hashes(text.as_py() or b"", width)) for text in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, pa.int64())], names=[key, "fp"])
 
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, " + ", ".join(f"{n} long" for n in names))
+    return docs.select(key, "text").mapInArrow(lean(run), f"`{key}` {dict(docs.dtypes)[key]}, fp long")
 
 
 def _signed(x: int) -> int:
@@ -115,20 +112,20 @@ def _next_variants(members: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame, distance: int = 3, limit: int = 64) -> DataFrame:
-    """Distinct pairs (a, b), a != b, of the distinct values fp that differ in at most
-    three bits (or fewer, by distance)."""
+    """Distinct pairs (a, b), a < b, of the distinct values fp that differ in at most
+    three bits (or fewer, by distance), as a stashed table."""
     if not 0 <= distance <= 3:
         raise ValueError("two segments leave one with one differing bit only up to distance 3")
     # Few bytes become many rows: dealt out before, so that all tasks share the expansion.
     nodes = nodes.select("fp").repartition(4 * shuffle_partitions(nodes.sparkSession), "fp")
-    variants, found = _first_variants(nodes), []
+    variants, found, used = _first_variants(nodes), [], []
     place = ["mask", "wild", "sig"]
     for depth in range(4):
         rows = variants.withColumn("sig", F.col("fp").bitwiseAND(F.col("mask"))).withColumn("side", F.col("fp").bitwiseAND(F.col("last")) != 0)
         sizes = rows.groupBy(*place).agg(F.count("*").alias("n"), F.min("side").alias("s0"), F.max("side").alias("s1"))
         shared = sizes.where((F.col("n") > 1) & ((F.col("wild") == 0) | (F.col("s0") != F.col("s1")))).select(*place, "n")
-        members = cut(rows.join(shared, place))
-        free(nodes.sparkSession)  # the index is larger than what is shared of it
+        members = stash(rows.join(shared, place))
+        used.append(members)
         small = members.where(F.col("n") <= limit) if depth < 3 else members
         a = small.where((F.col("wild") == 0) | ~F.col("side")).select(*place, F.col("fp").alias("a"))
         b = small.where((F.col("wild") == 0) | F.col("side")).select(*place, F.col("fp").alias("b"))
@@ -140,70 +137,43 @@ def links(nodes: DataFrame, distance: int = 3, limit: int = 64) -> DataFrame:
         if depth == 3 or large.isEmpty():
             break
         variants = _next_variants(large.select("fp", "mask", "wild", "last", "lo", "width"))
-    return reduce(DataFrame.union, found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = stash(reduce(DataFrame.union, found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    release(*used)
+    return pairs
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges(a, b); root is the least node reachable.
-    Each round hooks roots to their neighbours' grandparents and halves the paths."""
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    parent = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "node"))
+    """(node, root) for every node of edges(a, b), as a stashed table; root is the least node
+    reachable.  Each round hooks roots to their neighbours' grandparents and halves the paths."""
+    both = stash(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    parent = stash(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "node"))
     while True:
         up = parent.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        grand = parent.join(up, "root").select("node", "root", "top")
+        grand = parent.select("node", "root").join(up, "root").select("node", "root", "top")
         over = both.join(grand.select(F.col("node").alias("b"), "top"), "b").groupBy("a").agg(F.min("top").alias("near")).withColumnRenamed("a", "node")
         offers = grand.join(over, "node").select("node", "root", F.least("top", "near").alias("low"))
-        hooked = offers.groupBy("root").agg(F.min("low").alias("low")).select(F.col("root").alias("node"), "low")
-        step = cut(
-            offers.join(hooked.withColumnRenamed("low", "hook"), "node", "left").select("node", F.col("root").alias("old"), F.least("root", "low", "hook").alias("root"))
-        )
-        parent = step.select("node", "root")
+        hooked = offers.groupBy("root").agg(F.min("low").alias("low")).select(F.col("root").alias("node"), F.col("low").alias("hook"))
+        step = stash(offers.join(hooked, "node", "left").select("node", F.col("root").alias("old"), F.least("root", "low", "hook").alias("root")))
+        release(parent)
+        parent = step
         if step.where(F.col("root") != F.col("old")).isEmpty():
+            release(both)
             return parent
 
 
 def groups(prints: DataFrame, key: str = "doc_id", distance: int = 3, limit: int = 64) -> DataFrame:
-    """prints(key, fp0, fp1, ...) with component_id: rows are linked if any of their
-    fingerprints are; the smallest key of a component names it."""
-    names = [c for c in prints.columns if c.startswith("fp")]
-    node = F.col(names[0]) if len(names) == 1 else F.xxhash64(*names)
-    prints = cut(prints.withColumn("node", node))
-    nodes = cut(prints.groupBy("node", *names).agg(F.min(key).alias("least")))
-    edges = []
-    for name in names:
-        lead = nodes.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("lead"))
-        near = links(lead.select("fp"), distance, limit)
-        if len(names) > 1:
-            near = near.join(lead.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a").join(lead.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-            same = nodes.select(F.col(name).alias("fp"), "node").join(lead, "fp").where(F.col("node") != F.col("lead")).select(F.col("lead").alias("a"), F.col("node").alias("b"))
-            near = near.union(same)
-        edges.append(near)
-    root = components(reduce(DataFrame.union, edges))
-    rooted = nodes.select("node", "least").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    """prints(key, fp) with component_id: the smallest key of a component names it."""
+    nodes = stash(prints.groupBy("fp").agg(F.min(key).alias("least")))
+    pairs = links(nodes.select("fp"), distance, limit)
+    root = components(pairs)
+    rooted = nodes.join(root.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("node", "component_id")
-    return prints.join(named, "node").drop("node")
+    named = cut(rooted.join(least, "root").select("fp", "component_id"))
+    release(nodes, pairs, root)
+    return prints.join(named, "fp").select(key, "fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", width: int = 3, count: int = 1, distance: int = 3, limit: int = 64) -> DataFrame:
-    """key, fp0, ..., component_id for every row of docs."""
-    return groups(fingerprints(docs, key, width, count), key, distance, limit)
-
-
-def one_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that name their component: the smallest key of each group stays.
-    Rows that repeat that key are kept once; a group without any key keeps one row."""
-    return keep_named(docs, cut(near_duplicates(docs.select(key, "text"), key, **options)), key)
-
-
-def keep_named(docs: DataFrame, named: DataFrame, key: str) -> DataFrame:
-    """The rows of docs whose key is the component_id that named gives them."""
-    gone = named.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__gone_key")).distinct()
-    free(docs.sparkSession)
-    kept = docs.join(gone, F.col(key).eqNullSafe(F.col("__gone_key")), "left_anti")
-    twice = cut(named.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(key).count().where("count > 1").select(F.col(key).alias("__twice_key")))
-    if twice.isEmpty():
-        return kept
-    again = F.col(key).eqNullSafe(F.col("__twice_key"))
-    repeated = kept.join(twice, again, "left_semi").dropDuplicates([key])
-    return kept.join(twice, again, "left_anti").unionByName(repeated)
+def near_duplicates(docs: DataFrame, key: str = "doc_id", width: int = 3, distance: int = 3, limit: int = 64) -> DataFrame:
+    """key, fp, component_id for every row of docs."""
+    bound_batches(docs.sparkSession)
+    return groups(cut(fingerprints(docs, key, width)), key, distance, limit)

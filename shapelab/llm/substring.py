@@ -10,57 +10,85 @@ bucket, become one row.  Paths that go on in another bucket are then compacted
 by Spark joins on (source, target, diagonal, end = start).  What comes out are
 long repeated spans with the coordinates of both places.
 
-Skew: equal spans within an Arrow slice are reduced to the first before the
+Edges are compared by 64 bits over all k words.  That makes candidates only: each
+path is then cut at fixed places of its source, the source texts give a 128-bit
+digest of the words of each piece, and the texts with repeats compare it with
+their own words at their own coordinate.  The edges of a piece whose words differ
+are decided again by the digests of their own k words.  So a word goes only where
+the words of its window stand earlier, whatever the hashes do.
+
+Skew: equal spans within HOLD bytes of text are reduced to the first before the
 shuffle (the later ones are known to be repeats at once), so a passage that a
-third of all rows share reaches its bucket once for each slice.
-
-Two edges count as equal if 64 bits of the minimizer and 32 further bits over
-all k words agree, which 1e13 edges do by chance with a probability below 1 %.
+third of all rows share reaches its bucket once for each HOLD.  A first pass
+counts how many different spans lie under each minimizer; the edges of those with
+very many (a phrase in ever new surroundings) are dealt out one by one by their
+own hash, at most 2**20 such minimizers whatever the size of the corpus.
 
 Defined results: null and empty texts have no words.  Documents are ordered by
-doc_id, nulls first; rows that repeat doc_id and text are one document and get
-the same result, rows that share only the doc_id are ordered by a text hash.
+doc_id, nulls first; an id may be of any type that sorts.  Rows that repeat doc_id
+and text are one document and get the same result, rows that share only the doc_id
+are ordered by a text hash.  Equal windows are ties that the smallest coordinate
+wins.  A text of any length is taken whole; one longer than SLICE is hashed alone,
+piece by piece.  An empty table gives an empty result.  remove_repeats passes other
+columns through whatever their names, but for text and the one that counts.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import WordHasher, cut, distinct, free, rolling, row_slices, sha256, shuffle_partitions, sliding_min, text_bytes, utf8_view
+from .common import WordHasher, bound_batches, cut, distinct, lean, mix64, release, rolling, row_slices, sha256, shuffle_partitions, sliding_min, stash, trim, utf8_view, word_bounds
 
 SLICE = 4 << 20  # bytes hashed at once
 HOLD = 32 << 20  # bytes whose spans are compared with one another before the shuffle
 BUCKET = 24 << 20  # bytes of text for each bucket
+HOT = 1 << 13  # different spans under one minimizer, from which on they are dealt out
+MOST_HOT = 1 << 20  # hot minimizers at most; HOT grows with the corpus to that end
+PIECE = 64  # edges of a path that are verified together
 _A, _B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _RUN = "copy long, doc long, mark long, start int, n int, f_doc long, f_mark long, f_start int"
 _COLUMNS = ["copy", "doc", "mark", "start", "n", "f_doc", "f_mark", "f_start"]
 
 
-def coordinates(docs: DataFrame, key: str = "doc_id", doc: str = "doc", mark: str = "mark"):
-    """docs with the coordinate (doc, mark): the id, nulls least, and a hash of the text."""
+def numbering(docs: DataFrame, key: str) -> DataFrame | None:
+    """Numbers of ids that are no whole numbers, in their order; None for whole numbers."""
+    if isinstance(docs.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return None
+    return cut(docs.select(F.col(key).alias("__key")).distinct().orderBy("__key").withColumn("__number", F.monotonically_increasing_id()))
+
+
+def coordinates(docs: DataFrame, numbers: DataFrame | None, key: str = "doc_id", doc: str = "doc", mark: str = "mark") -> DataFrame:
+    """docs with the coordinate (doc, mark): the id or its number, nulls least, and a hash of the text."""
     hashed = F.xxhash64(F.coalesce("text", F.lit("")), F.col(key).isNull())
-    return docs.withColumn(doc, F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))).withColumn(mark, hashed)
+    if numbers is None:
+        return docs.withColumn(doc, F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))).withColumn(mark, hashed)
+    numbered = docs.join(numbers.withColumnRenamed("__number", doc), F.col(key).eqNullSafe(F.col("__key")))
+    return numbered.drop("__key").withColumn(mark, hashed)
+
+
+# The arrays of a block, in order, with their types.
+_LAYOUT = [np.dtype(t) for t in ("i8", "i8", "i8", "u4", "u4", "u4", "u8", "u4", "u4", "u4", "u4", "u4")]
 
 
 def pack(arrays) -> bytes:
-    """Arrays as one compressed block; whole bytes of a place stand together."""
-    out = []
-    for x in arrays:
-        x = np.ascontiguousarray(x)
-        out.append(len(x).to_bytes(8, "little") + x.dtype.str.encode().ljust(8) + x.view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes() if len(x) else (0).to_bytes(8, "little") + x.dtype.str.encode().ljust(8))
+    """Arrays of _LAYOUT as one compressed block; whole bytes of a place stand together."""
+    out = [np.array([len(x) for x in arrays], np.uint32).tobytes()]
+    for x, kind in zip(arrays, _LAYOUT):
+        if len(x):
+            out.append(np.ascontiguousarray(x, kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes())
     return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
 def unpack(block: bytes) -> list[np.ndarray]:
-    raw, at, out = zstandard.ZstdDecompressor().decompress(block), 0, []
-    while at < len(raw):
-        n, kind = int.from_bytes(raw[at : at + 8], "little"), np.dtype(raw[at + 8 : at + 16].strip().decode())
-        at += 16
+    raw, at, out = zstandard.ZstdDecompressor().decompress(block), 4 * len(_LAYOUT), []
+    for n, kind in zip(np.frombuffer(raw, np.uint32, len(_LAYOUT)).tolist(), _LAYOUT):
         planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
         out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind) if n else np.zeros(0, kind))
         at += n * kind.itemsize
@@ -69,14 +97,13 @@ def unpack(block: bytes) -> list[np.ndarray]:
 
 def edge_spans(hasher, data, offsets, k: int, m: int):
     """Spans of neighbouring edges with one minimizer: (row, start, n, minimizer) and
-    the 32 check bits of the edges, span after span."""
+    the 64 check bits of the edges, span after span."""
     code, _, _, row = hasher(data, offsets)
     n = len(code) - k + 1
     if n <= 0:
         z = np.zeros(0, np.int64)
-        return z, z, z, np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        return z, z, z, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     least = sliding_min(rolling(code, m, _A), k - m + 1)
-    check = (rolling(code, k, _B) >> np.uint64(32)).astype(np.uint32)
     ok = row[:n] == row[k - 1 :]
     same = np.zeros(n, bool)
     same[1:] = (least[1:] == least[:-1]) & ok[1:] & ok[:-1] & (row[1:n] == row[: n - 1])
@@ -84,18 +111,69 @@ def edge_spans(hasher, data, offsets, k: int, m: int):
     edges = np.flatnonzero(ok)
     length = np.diff(np.append(np.searchsorted(edges, first), len(edges)))
     begin = np.searchsorted(row, np.arange(len(offsets) - 1))
-    return row[first], first - begin[row[first]], length, least[first], check[edges]
+    return row[first], first - begin[row[first]], length, least[first], rolling(code, k, _B)[edges]
 
 
-def span_blocks(k: int, m: int, buckets: int, seed: int):
+def content(n, check, at):
+    """A hash of the edges of each span and their order."""
+    sums = np.zeros(len(check) + 1, np.uint64)
+    np.cumsum(mix64(check[1:] + np.uint64(_A) * check[:-1]), out=sums[2:])
+    return mix64(check[at]) + sums[at + n] - sums[at + 1]
+
+
+def crowded(k: int, m: int, seed: int):
+    """Arrow batches of text -> (minimizer, spans, bytes): minimizers with two or more
+    different spans in HOLD bytes; one row more for the bytes."""
+
+    def run(batches):
+        hasher, held, size = WordHasher(seed), [], 0
+        for batch in row_slices(batches, SLICE):
+            data, offsets = utf8_view(batch.column("text"))
+            _, _, n, least, check = edge_spans(hasher, data, offsets, k, m)
+            held.append((least, content(n, check, np.cumsum(n) - n)))
+            size += len(data)
+            if size >= HOLD:
+                yield flush(held, size)
+                held, size = [], 0
+        if held:
+            yield flush(held, size)
+
+    def flush(held, size):
+        least, total = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        by = np.lexsort((total, least))
+        least, total = least[by], total[by]
+        new = np.ones(len(by), bool)
+        new[1:] = (least[1:] != least[:-1]) | (total[1:] != total[:-1])
+        value, count = np.unique(least[new], return_counts=True)
+        value, count = value[count > 1], count[count > 1]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.append(value.view(np.int64), 0)), pa.array(np.append(count, 0)), pa.array(np.append(np.zeros(len(value), np.int64), size))], names=["minimizer", "spans", "bytes"]
+        )
+
+    return lean(run)
+
+
+def hot_minimizers(texts: DataFrame, k: int, m: int, seed: int):
+    """(sorted hot minimizers, bytes of all texts).  A span has a byte at least, so the limit
+    leaves MOST_HOT of them at most, 8 MB."""
+    counted = stash(texts.select("text").mapInArrow(crowded(k, m, seed), "minimizer long, spans long, bytes long"))
+    size = int(counted.agg(F.sum("bytes")).first()[0] or 0)
+    limit = max(HOT, size // MOST_HOT)
+    hot = counted.groupBy("minimizer").agg(F.sum("spans").alias("spans")).where(F.col("spans") >= limit).select("minimizer").toArrow()
+    release(counted)
+    return np.sort(hot["minimizer"].to_numpy().view(np.uint64)), size
+
+
+def span_blocks(k: int, m: int, buckets: int, seed: int, shared):
     """Arrow batches of (doc, mark, text) -> (bucket, block)."""
 
     def run(batches):
+        hot = np.frombuffer(shared.value, np.uint64)
         hasher, held, size = WordHasher(seed), [], 0
         copy = TaskContext.get().partitionId() << 24  # tells rows of one document in different blocks apart
         for batch in row_slices(batches, SLICE):
             data, offsets = utf8_view(batch.column("text"))
-            held.append((batch.column("doc").to_numpy(), batch.column("mark").to_numpy(), *edge_spans(hasher, data, offsets, k, m)))
+            held.append((batch.column("doc").to_numpy(), batch.column("mark").to_numpy(), *placed(*edge_spans(hasher, data, offsets, k, m), hot)))
             size += len(data)
             if size >= HOLD:
                 yield from flush(held, copy)
@@ -103,11 +181,26 @@ def span_blocks(k: int, m: int, buckets: int, seed: int):
         if held:
             yield from flush(held, copy)
 
+    def placed(row, start, n, least, check, hot):
+        """Spans with their bucket; those under a hot minimizer fall into single edges."""
+        split = np.zeros(len(n), bool)
+        if len(hot):
+            split = hot[np.minimum(np.searchsorted(hot, least), len(hot) - 1)] == least
+        if not split.any():
+            return row, start, n, (least % np.uint64(buckets)).astype(np.int32), check
+        parts = np.where(split, n, 1)
+        of = np.repeat(np.arange(len(n)), parts)
+        step = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+        size = np.where(split, 1, n)[of]
+        begins = check[np.cumsum(size) - size]
+        return row[of], start[of] + step, size, (np.where(split[of], begins, least[of]) % np.uint64(buckets)).astype(np.int32), check
+
     def flush(held, copy):
         base = np.cumsum([0] + [len(h[0]) for h in held])
         doc, mark = (np.concatenate([h[i] for h in held]) for i in (0, 1))
         row = np.concatenate([h[2] + b for h, b in zip(held, base)])
-        start, n, least, check = (np.concatenate([h[i] for h in held]) for i in (3, 4, 5, 6))
+        start, n, bucket, check = (np.concatenate([h[i] for h in held]) for i in (3, 4, 5, 6))
+        held.clear()
         # Coordinates in order, the row of each document once.
         order = np.lexsort((mark, doc))
         again = np.zeros(len(order), bool)
@@ -119,31 +212,26 @@ def span_blocks(k: int, m: int, buckets: int, seed: int):
         at = np.cumsum(n) - n
         live = np.flatnonzero(~twin[row])
         live = live[np.lexsort((start[live], place[row[live]]))]
-        # Equal spans: the same minimizer, length and check bits throughout.
-        sums = np.concatenate([[0], np.cumsum(check.astype(np.uint64) * (np.uint64(_A) + check.astype(np.uint64)), dtype=np.uint64)])
-        total = sums[at + n] - sums[at]
-        tied = np.lexsort((n[live], total[live], least[live]))  # stable: coordinates stay in order
-        s = live[tied]
+        # Equal spans: the same bucket, length and edges throughout.
+        total = content(n, check, at)
+        s = live[np.lexsort((n[live], total[live], bucket[live]))]  # stable: coordinates stay in order
         equal = np.zeros(len(s), bool)
-        equal[1:] = (least[s][1:] == least[s][:-1]) & (n[s][1:] == n[s][:-1]) & (total[s][1:] == total[s][:-1])
+        equal[1:] = (bucket[s][1:] == bucket[s][:-1]) & (n[s][1:] == n[s][:-1]) & (total[s][1:] == total[s][:-1])
         head = np.maximum.accumulate(np.where(equal, 0, np.arange(len(s))))
-        bucket = (least[s] % np.uint64(buckets)).astype(np.int64)
-        d_row, d_start, d_n, d_of, d_at, d_bucket = joined(row[s[equal]], start[s[equal]], n[s[equal]], row[s[head[equal]]], start[s[head[equal]]], bucket[equal])
-        s, bucket = s[~equal], bucket[~equal]
-        split, d_split = np.argsort(bucket, kind="stable"), np.argsort(d_bucket, kind="stable")
-        edge, d_edge = np.searchsorted(bucket[split], np.arange(buckets + 1)), np.searchsorted(d_bucket[d_split], np.arange(buckets + 1))
+        d_row, d_start, d_n, d_of, d_at, d_bucket = joined(row[s[equal]], start[s[equal]], n[s[equal]], row[s[head[equal]]], start[s[head[equal]]], bucket[s[equal]])
+        s = s[~equal]
+        d_split = np.argsort(d_bucket, kind="stable")
+        edge, d_edge = np.searchsorted(bucket[s], np.arange(buckets + 1)), np.searchsorted(d_bucket[d_split], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(edge) + np.diff(d_edge)).tolist():
-            spans_, drop = s[split[edge[b] : edge[b + 1]]], d_split[d_edge[b] : d_edge[b + 1]]
+            spans_, drop = s[edge[b] : edge[b + 1]], d_split[d_edge[b] : d_edge[b + 1]]
+            spans_ = spans_[np.lexsort((start[spans_], place[row[spans_]]))]
             used = distinct(np.concatenate([row[spans_], d_row[drop], d_of[drop]]))
-            of = lambda x: np.searchsorted(used, x).astype(np.uint32)
+            of = lambda x: np.searchsorted(used, x)
             where = np.repeat(at[spans_] - (np.cumsum(n[spans_]) - n[spans_]), n[spans_]) + np.arange(n[spans_].sum())
-            block = pack(
-                [np.array([copy], np.int64), doc[used], mark[used], of(row[spans_]), start[spans_].astype(np.uint32), n[spans_].astype(np.uint32), least[spans_], check[where]]
-                + [of(d_row[drop]), d_start[drop].astype(np.uint32), d_n[drop].astype(np.uint32), of(d_of[drop]), d_at[drop].astype(np.uint32)]
-            )
+            block = pack([np.array([copy]), doc[used], mark[used], of(row[spans_]), start[spans_], n[spans_], check[where], of(d_row[drop]), d_start[drop], d_n[drop], of(d_of[drop]), d_at[drop]])
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([block], pa.binary())], names=["bucket", "block"])
 
-    return run
+    return lean(run)
 
 
 def joined(row, start, n, of, at, bucket):
@@ -164,68 +252,67 @@ def _rows(copy, doc, mark, start, n, f_doc, f_mark, f_start):
 
 def repeats_in_bucket(table: pa.Table) -> pa.Table:
     """All blocks of a bucket -> its nonbranching paths of repeated edges."""
-    docs, marks, copies, rows, starts, lengths, leasts, checks, out = [], [], [], [], [], [], [], [], []
+    docs, marks, copies, rows, starts, lengths, checks, out = [], [], [], [], [], [], [], []
     base = 0
-    for block in table["block"].to_pylist():
-        copy, doc, mark, row, start, n, least, check, d_row, d_start, d_n, d_of, d_at = unpack(block)
+    for block in table["block"]:
+        copy, doc, mark, row, start, n, check, d_row, d_start, d_n, d_of, d_at = unpack(block.as_py())
         if len(d_row):
             out.append(_rows(np.repeat(copy, len(d_row)), doc[d_row], mark[d_row], d_start, d_n, doc[d_of], mark[d_of], d_at))
-        copies.append(np.repeat(copy, len(doc))), docs.append(doc), marks.append(mark), starts.append(start), lengths.append(n), leasts.append(least), checks.append(check)
+        copies.append(np.repeat(copy, len(doc))), docs.append(doc), marks.append(mark), starts.append(start), lengths.append(n), checks.append(check)
         rows.append(row.astype(np.int64) + base)
         base += len(doc)
     copy, doc, mark, row = np.concatenate(copies), np.concatenate(docs), np.concatenate(marks), np.concatenate(rows)
-    start, n, least, check = (np.concatenate(x).astype(t) for x, t in ((starts, np.int64), (lengths, np.int64), (leasts, np.uint64), (checks, np.uint64)))
-    at = np.cumsum(n) - n
-    by = np.argsort(least, kind="stable")
-    fresh = np.ones(len(by), bool)
-    fresh[1:] = least[by][1:] != least[by][:-1]
-    group = np.cumsum(fresh) - 1
-    size = np.bincount(group) if len(group) else np.zeros(0, np.int64)
-    # A span that stands alone under its minimizer may still repeat an edge within itself.
-    s = by[(size[group] > 1) | (n[by] > 1)]
-    group = group[(size[group] > 1) | (n[by] > 1)]
-    if len(s):
+    start, n, check = np.concatenate(starts).astype(np.int64), np.concatenate(lengths).astype(np.int64), np.concatenate(checks)
+    # The edges that occur more than once.
+    value = np.sort(check)
+    value = distinct(value[1:][value[1:] == value[:-1]])
+    at = np.flatnonzero(value[np.minimum(np.searchsorted(value, check), len(value) - 1)] == check) if len(value) else np.zeros(0, np.int64)
+    if len(at):
+        key = np.searchsorted(value, check[at])
+        del check
         order = np.lexsort((mark, doc))
         fresh = np.ones(len(order), bool)
         fresh[1:] = (doc[order][1:] != doc[order][:-1]) | (mark[order][1:] != mark[order][:-1])
         rank = np.empty(len(order), np.int64)
         rank[order] = np.cumsum(fresh) - 1
         name = order[fresh]
-        span = np.repeat(np.arange(len(s)), n[s])
-        step = np.arange(len(span)) - np.repeat(np.cumsum(n[s]) - n[s], n[s])
-        key = (group[span].astype(np.uint64) << np.uint64(32)) | check[at[s][span] + step]
-        pos = start[s][span] + step
-        coord = rank[row[s]][span] << 32 | pos
-        by = np.lexsort((coord, key))
-        again = np.zeros(len(by), bool)
-        again[1:] = key[by][1:] == key[by][:-1]
-        head = np.maximum.accumulate(np.where(again, 0, np.arange(len(by))))
-        first = np.empty(len(by), np.int64)
-        first[by] = coord[by][head]
+        before = np.cumsum(n) - n
+        span = np.searchsorted(before, at, side="right") - 1
+        pos = start[span] + at - before[span]
+        coord = rank[row[span]] << 32 | pos
+        first = np.full(len(value), 2**63 - 1, np.int64)
+        np.minimum.at(first, key, coord)
+        first = first[key]
         later = np.flatnonzero(first < coord)  # an edge's second sight at one coordinate is no repeat
         begins = np.ones(len(later), bool)
-        begins[1:] = (np.diff(later) != 1) | (span[later][1:] != span[later][:-1]) | (np.diff(first[later]) != 1)
+        begins[1:] = (np.diff(at[later]) != 1) | (span[later][1:] != span[later][:-1]) | (np.diff(first[later]) != 1)
         a = later[begins]
         length = np.diff(np.append(np.flatnonzero(begins), len(later)))
-        r, f = rank[row[s]][span[a]], first[a] >> 32
-        out.append(_rows(copy[row[s]][span[a]], doc[name[r]], mark[name[r]], pos[a], length, doc[name[f]], mark[name[f]], first[a] & 0xFFFFFFFF))
+        of = row[span[a]]
+        f = first[a] >> 32
+        out.append(_rows(copy[of], doc[of], mark[of], pos[a], length, doc[name[f]], mark[name[f]], first[a] & 0xFFFFFFFF))
     schema = pa.schema([(c, pa.int32() if c in ("start", "n", "f_start") else pa.int64()) for c in _COLUMNS])
-    return pa.concat_tables([x.cast(schema) for x in out]) if out else schema.empty_table()
+    found = pa.concat_tables([x.cast(schema) for x in out]) if out else schema.empty_table()
+    trim()
+    return found
 
 
-def repeated_paths(docs: DataFrame, key: str = "doc_id", k: int = 20, m: int | None = None, seed: int = 1) -> DataFrame:
-    """Compacted paths (doc, mark, start, n, f_doc, f_mark, f_start): n neighbouring
-    edges from word start on occur earlier, at f_start of document f."""
-    spark = docs.sparkSession
+def repeated_paths(placed: DataFrame, k: int = 20, m: int | None = None, seed: int = 1):
+    """Candidates from placed(doc, mark, text): a stashed table (doc, mark, start, n, f_doc,
+    f_mark, f_start) of compacted paths: n neighbouring edges from word start on that seem
+    to occur earlier, at f_start of document f."""
+    spark = placed.sparkSession
     m = m or max(1, (k + 1) // 3)
-    placed = coordinates(docs.select(key, "text"), key).select("doc", "mark", "text")
-    buckets = max(shuffle_partitions(spark), -(-text_bytes(docs) // BUCKET))
-    runs = cut(placed.mapInArrow(span_blocks(k, m, buckets, seed), "bucket int, block binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(repeats_in_bucket, _RUN))
-    free(spark)
+    hot, size = hot_minimizers(placed, k, m, seed)
+    buckets = max(shuffle_partitions(spark), -(-size // BUCKET))
+    shared = spark.sparkContext.broadcast(hot.tobytes())
+    blocks = placed.select("doc", "mark", "text").mapInArrow(span_blocks(k, m, buckets, seed, shared), "bucket int, block binary")
+    found = stash(blocks.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(repeats_in_bucket, _RUN))
+    shared.unpersist()
     # Compaction over the ends of buckets: a path is led by a run that no run leads into.
     # Only the document and a hash of the rest stand for the runs that lead on.
     way = ["copy", "mark", "f_doc", "f_mark", "shift"]
-    runs = runs.withColumn("shift", F.col("start") - F.col("f_start"))
+    runs = found.withColumn("shift", F.col("start") - F.col("f_start"))
     start = runs.withColumn("at", F.xxhash64(*way, "start"))
     stop = runs.withColumn("to", F.col("start") + F.col("n")).withColumn("at", F.xxhash64(*way, "to"))
     heads = start.select("doc", *way, "at", "start").join(stop.select("doc", "at"), ["doc", "at"], "left_anti")
@@ -233,7 +320,119 @@ def repeated_paths(docs: DataFrame, key: str = "doc_id", k: int = 20, m: int | N
     way = ["doc", *way]
     edge = lambda df, x: df.groupBy(*way).agg(F.sort_array(F.collect_list(x)).alias(x))  # noqa: E731  a way's paths are within one document
     paths = edge(heads, "start").join(edge(tails, "to"), way).select(*way, F.explode(F.arrays_zip("start", "to")).alias("p"))
-    return paths.select("doc", "mark", F.col("p.start").alias("start"), (F.col("p.to") - F.col("p.start")).alias("n"), "f_doc", "f_mark", (F.col("p.start") - F.col("shift")).alias("f_start"))
+    paths = paths.select("doc", "mark", F.col("p.start").alias("start"), (F.col("p.to") - F.col("p.start")).alias("n"), "f_doc", "f_mark", (F.col("p.start") - F.col("shift")).alias("f_start"))
+    compact = stash(paths)
+    release(found)
+    return compact
+
+
+# --- verification against the source words ----------------------------------
+
+
+def pieces(paths: DataFrame) -> DataFrame:
+    """The paths cut at multiples of PIECE of the source's words, so that a source of W words
+    is asked for some PIECE x W pieces at most, however many paths lead to it."""
+    stop = F.col("f_start") + F.col("n")
+    cell = F.explode(F.sequence(F.expr(f"f_start div {PIECE}"), F.expr(f"(f_start + n - 1) div {PIECE}")))
+    low, high = F.greatest("f_start", F.col("cell") * PIECE), F.least(stop, (F.col("cell") + 1) * PIECE)
+    cells = paths.withColumn("cell", cell).withColumn("low", low.cast("int")).withColumn("high", high.cast("int"))
+    return cells.select("doc", "mark", (F.col("start") + F.col("low") - F.col("f_start")).alias("start"), (F.col("high") - F.col("low")).alias("n"), "f_doc", "f_mark", F.col("low").alias("f_start"))
+
+
+class Words:
+    """Digests of runs of words of one text, joined by one space."""
+
+    def __init__(self, text: bytes):
+        words = text.split()
+        self.line = memoryview(b" ".join(words))
+        self.stop = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+
+    def digest(self, start: int, count: int) -> bytes:
+        begin = self.stop[start - 1] + 1 if start else 0
+        return xxhash.xxh3_128_digest(self.line[begin : self.stop[start + count - 1]])
+
+
+def _digested(k: int):
+    """(doc, mark, text, asked) -> (f_doc, f_mark, f_start, n, digest) of each run of n edges asked for."""
+
+    def run(batches):
+        for batch in row_slices(batches, SLICE):
+            for doc, mark, text, asked in zip(*(batch.column(c).to_pylist() for c in ("doc", "mark")), batch.column("text").cast(pa.binary()), batch.column("asked")):
+                words, flat = Words(text.as_py() or b""), asked.values
+                start, n = flat.field("start").to_pylist(), flat.field("n").to_pylist()
+                found = [words.digest(s, c + k - 1) for s, c in zip(start, n)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([doc] * len(n), pa.int64()), pa.array([mark] * len(n), pa.int64()), flat.field("start"), flat.field("n"), pa.array(found, pa.binary())], names=["f_doc", "f_mark", "f_start", "n", "digest"]
+                )
+
+    return lean(run)
+
+
+_PLACES = "array<struct<start:int,n:int>>"
+
+
+def _compared(k: int):
+    """(doc, mark, text, claims) -> (doc, mark, good, bad): runs of edges whose words are
+    those of the source, and pieces whose words are not."""
+
+    def run(batches):
+        for batch in row_slices(batches, SLICE):
+            good, bad = [], []
+            for text, claims in zip(batch.column("text").cast(pa.binary()), batch.column("claims")):
+                words, flat = Words(text.as_py() or b""), claims.values
+                start, n = flat.field("start").to_numpy(), flat.field("n").to_numpy()
+                same = np.array([words.digest(s, c + k - 1) == d for s, c, d in zip(start.tolist(), n.tolist(), flat.field("digest").to_pylist())], bool)
+                bad.append([{"start": s, "n": c} for s, c in zip(start[~same].tolist(), n[~same].tolist())])
+                start, n = start[same], n[same]
+                by = np.argsort(start, kind="stable")
+                start, stop = start[by], np.maximum.accumulate((start + n)[by])
+                new = np.ones(len(start), bool)
+                new[1:] = start[1:] > stop[:-1]
+                last = np.append(np.flatnonzero(new)[1:], len(start))[: new.sum()] - 1
+                good.append([{"start": s, "n": e - s} for s, e in zip(start[new].tolist(), stop[last].tolist())])
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("mark"), pa.array(good, kind), pa.array(bad, kind)], names=["doc", "mark", "good", "bad"])
+
+    return lean(run)
+
+
+def _told(placed: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Digests of the runs asked(f_doc, f_mark, f_start, n), from the texts they stand in."""
+    lists = asked.distinct().groupBy(F.col("f_doc").alias("doc"), F.col("f_mark").alias("mark")).agg(F.collect_list(F.struct(F.col("f_start").alias("start"), "n")).alias("asked"))
+    rows = placed.join(lists, ["doc", "mark"]).select("doc", "mark", "text", "asked")
+    told = rows.mapInArrow(_digested(k), "f_doc long, f_mark long, f_start int, n int, digest binary")
+    return told.dropDuplicates(["f_doc", "f_mark", "f_start", "n"])  # a row may stand twice
+
+
+def verified(placed: DataFrame, paths: DataFrame, k: int):
+    """((doc, mark, spans), the stashed table it stands in): the repeated runs of edges of each document whose
+    words are equal to those of the earlier place."""
+    where = ["f_doc", "f_mark", "f_start", "n"]
+    parts = pieces(paths)
+    told = stash(_told(placed, parts.select(*where), k))
+    lists = parts.join(told, where).groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "n", "digest")).alias("claims"))
+    rows = placed.join(lists, ["doc", "mark"]).select("doc", "mark", "text", "claims")
+    judged = stash(rows.mapInArrow(_compared(k), f"doc long, mark long, good {_PLACES}, bad {_PLACES}").dropDuplicates(["doc", "mark"]))
+    release(told)
+    failed = judged.where(F.size("bad") > 0).select("doc", "mark", F.explode("bad").alias("b"))
+    if failed.isEmpty():
+        return judged.withColumnRenamed("good", "spans"), judged
+    again = stash(_decided(placed, parts.join(failed.select("doc", "mark", "b.start", "b.n"), ["doc", "mark", "start", "n"]), k))
+    spans = judged.select("doc", "mark", F.explode("good").alias("s")).union(again.select("doc", "mark", F.struct("start", F.lit(1).alias("n"))))
+    both = stash(spans.groupBy("doc", "mark").agg(F.collect_list("s").alias("spans")))
+    release(judged, again)
+    return both, both
+
+
+def _decided(placed: DataFrame, parts: DataFrame, k: int) -> DataFrame:
+    """(doc, mark, start) of the edges of parts, on either side, whose k words stand earlier
+    among those edges.  Edges of one hash all came to its first place, so what is equal to
+    an edge that failed there failed too, or is that place."""
+    one = lambda doc, mark, start: parts.select(F.col(doc).alias("f_doc"), F.col(mark).alias("f_mark"), F.explode(F.sequence(F.col(start), F.col(start) + F.col("n") - 1)).alias("f_start"), F.lit(1).alias("n"))
+    told = _told(placed, one("doc", "mark", "start").union(one("f_doc", "f_mark", "f_start")), k)
+    told = told.withColumn("place", F.struct("f_doc", "f_mark", "f_start"))
+    first = told.groupBy("digest").agg(F.min("place").alias("first"))
+    return told.join(first, "digest").where(F.col("place") != F.col("first")).select(F.col("f_doc").alias("doc"), F.col("f_mark").alias("mark"), F.col("f_start").alias("start"))
 
 
 def covered(words: int, starts, counts, k: int) -> np.ndarray:
@@ -247,17 +446,20 @@ def covered(words: int, starts, counts, k: int) -> np.ndarray:
 def without_repeats(docs: DataFrame, make, schema: str, key: str = "doc_id", k: int = 20) -> DataFrame:
     """make(batch) -> batch for the rows of docs, with each row's repeated spans
     [(start, n), ...] in column `__spans`."""
-    spark = docs.sparkSession
-    paths = repeated_paths(docs, key, k)
-    per_doc = cut(paths.groupBy(F.col("doc").alias("__doc"), F.col("mark").alias("__mark")).agg(F.collect_set(F.struct("start", "n")).alias("__spans")))
-    free(spark)
-    rows = coordinates(docs, key, "__doc", "__mark").join(per_doc, ["__doc", "__mark"], "left").drop("__doc", "__mark")
+    bound_batches(docs.sparkSession)
+    numbers = numbering(docs, key)
+    placed = coordinates(docs.select(key, "text"), numbers, key).select("doc", "mark", "text")
+    paths = repeated_paths(placed, k)
+    spans, used = verified(placed, paths, k)
+    per_doc = cut(spans.select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), F.col("spans").alias("__spans")))
+    release(paths, used)
+    rows = coordinates(docs, numbers, key, "__doc", "__mark").join(per_doc, ["__doc", "__mark"], "left").drop("__doc", "__mark")
 
     def run(batches):
         for batch in row_slices(batches, SLICE):
             yield make(batch)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def digest_batch(k: int, key: str):
@@ -285,9 +487,8 @@ def removal_digest(docs: DataFrame, key: str = "doc_id", k: int = 20) -> DataFra
 
 def strip_text(data: bytes, spans, k: int) -> bytes:
     """The text without its repeated words; white space between kept words stays."""
-    hasher = WordHasher()
     view = np.frombuffer(data, np.uint8)
-    _, start, end, _ = hasher(view, np.array([0, len(view)]))
+    start, end, _ = word_bounds(view, np.array([0, len(view)]))
     gone = covered(len(start), np.array([s["start"] for s in spans]), np.array([s["n"] for s in spans]), k)
     begins = np.flatnonzero(gone & ~np.concatenate([[False], gone[:-1]]))
     stops = np.flatnonzero(gone & ~np.concatenate([gone[1:], [False]]))

@@ -7,7 +7,12 @@ every bucket; the buckets with the largest weight of evidence are kept, each
 feature's value is its log ratio, and a logistic regression is fitted on these.
 
 Defined results: null and empty texts score the bias alone; a training set that
-lacks one of the classes gives that class's probability as the score of all.
+lacks one of the classes gives that class's probability as the score of all, one
+without rows 0.  Texts of any length are scored whole, block by block; repeated rows
+get equal scores, as do texts that hold the same n-grams; buckets of equal evidence
+are taken in their order.  A document with labels of both kinds counts under both.
+An empty table gives an empty result; other columns pass through, but for one called
+score, which the score replaces.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, distinct, lower_ascii, row_slices, utf8_view
+from .common import bound_batches, cut, distinct, lean, lower_ascii, release, row_slices, stash, utf8_view
 
 SIZES = (4, 5, 6)
 BITS = 22
@@ -97,29 +102,33 @@ def fit(rows, columns, labels, width, ratio, l2=1e-5, rounds=600):
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, docs_per_class: int, seed: int) -> DataFrame:
     """(doc_id, text, toxic) of about docs_per_class labelled rows of each class, with no
-    text shuffled: the drawn ids are few by the parameter, their
-    number is checked, and they go to the texts by broadcast."""
+    text shuffled where Spark finds the table of drawn ids small enough to broadcast, as the
+    parameter makes it."""
     labels = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     sizes = {r[0]: r[1] for r in labels.groupBy("toxic").count().collect()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2**31)) / F.lit(float(2**31))
     share = F.when(F.col("toxic") == 1, min(1.0, docs_per_class / sizes.get(1, 1))).otherwise(min(1.0, docs_per_class / sizes.get(0, 1)))
-    drawn = cut(labels.where(draw < share))
-    if drawn.count() > 4 * docs_per_class:
-        raise ValueError("the drawn sample is larger than its parameter allows")
-    return cut(docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(drawn), "doc_id"))
+    drawn = stash(labels.where(draw < share))
+    sample = stash(docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(drawn, "doc_id"))
+    release(drawn)
+    return sample
 
 
 def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = 2500, features: int = 3000, least_docs: int = 8, least_z: float = 5.0, seed: int = 11) -> Model:
-    """docs(doc_id, text), labels(doc_id, toxic).  About docs_per_class rows of each class and
-    the given number of buckets bound what is learned from and what reaches the driver;
-    buckets whose frequencies differ by less than least_z standard errors are left out."""
+    """docs(doc_id, text), labels(doc_id, toxic).  docs_per_class bounds the labelled rows.  Of
+    their n-grams those that tell the classes apart by chance are left out (fewer than
+    least_docs documents, or frequencies less than least_z standard errors apart), and the
+    `features` with the most evidence are fitted: with thousands of rows and millions of
+    n-grams a fit to all of them learns the sample by heart."""
+    bound_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, docs_per_class, seed)
     n = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
+        release(sample)
         return Model({}, 10.0 if n1 else -10.0)
     p, q = (F.col("toxic") + 1) / F.lit(n1 + 2.0), (F.col("clean") + 1) / F.lit(n0 + 2.0)
-    seen = sample.mapInArrow(frequency_rows, "bucket long, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    seen = sample.mapInArrow(lean(frequency_rows), "bucket long, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     pooled = (F.col("toxic") + F.col("clean") + 1) / F.lit(n1 + n0 + 2.0)
     z = F.abs(p - q) / F.sqrt(pooled * (1 - pooled) * F.lit(1 / max(n1, 1) + 1 / max(n0, 1)))
     rated = seen.where((F.col("toxic") + F.col("clean") >= least_docs) & (z >= least_z)).select("bucket", F.log(p / q).alias("ratio"), (F.abs(p - q) * F.abs(F.log(p / q))).alias("evidence"))
@@ -140,7 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = 2500, featur
             )
 
     kind = dict(sample.dtypes)["doc_id"]
-    got = sample.mapInArrow(sparse, f"doc_id {kind}, toxic int, has array<int>").toArrow().sort_by("doc_id")
+    got = sample.mapInArrow(lean(sparse), f"doc_id {kind}, toxic int, has array<int>").toArrow().sort_by("doc_id")
+    release(sample)
     labels = got["toxic"].to_numpy().astype(np.float64)
     has = got["has"].combine_chunks()
     cuts = has.offsets.to_numpy()
@@ -167,7 +177,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
             margin = np.bincount(row, table[bucket], minlength=batch.num_rows) + bias
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in carried] + [pa.array(1 / (1 + np.exp(-np.clip(margin, -30, 30))))], names=[*carried, "score"])
 
-    return rows.mapInArrow(run, f"{kinds}{', ' if carried else ''}score double")
+    return rows.mapInArrow(lean(run), f"{kinds}{', ' if carried else ''}score double")
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
@@ -183,4 +193,4 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> Data
             margin = np.bincount(row, table[bucket], minlength=batch.num_rows) + bias
             yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(margin, -30, 30))) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -178,6 +178,65 @@ def test_substring_small_buffers_and_empty_table(frame, monkeypatch):
     assert substring.removal_digest(frame([], "doc_id long, text string")).count() == 0
 
 
+def _removed(frame, rows, k):
+    return {r.doc_id: (r.n_words, r.n_removed) for r in substring.removal_digest(frame(rows, "doc_id long, text string"), k=k).collect()}
+
+
+def _around_phrases(seed, n):
+    """Phrases that come again and again in ever new surroundings, some words of which come again too."""
+    rng = random.Random(seed)
+    phrases = [[f"{c}{i}" for i in range(9)] for c in "pqr"]
+    rows = []
+    for i in range(n):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            words += [str(rng.randrange(10**9)) for _ in range(rng.randrange(12))] + rng.choice(phrases) + [rng.choice("uvw") for _ in range(rng.randrange(4))]
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_substring_phrases_in_new_surroundings_are_no_repeats(frame):
+    rng = random.Random(3)
+    phrase = [f"p{i}" for i in range(9)]
+    new = lambda: [str(rng.randrange(10**12)) for _ in range(12)]
+    rows = [(i, " ".join(new() + phrase + new())) for i in range(3000)]
+    assert all(gone == 0 for _, gone in _removed(frame, rows, 20).values())
+
+
+@pytest.mark.parametrize("bits", [0, 2, 6, 10])
+def test_substring_false_candidates_are_decided_by_words(frame, monkeypatch, bits):
+    real = substring.edge_spans
+
+    def weak(*args):
+        *spans, check = real(*args)
+        return (*spans, check & ((1 << bits) - 1))
+
+    monkeypatch.setattr(substring, "edge_spans", weak)
+    monkeypatch.setattr(substring, "PIECE", 3)
+    rows = _around_phrases(bits, 60)
+    want = _kept(rows, 8)
+    assert _removed(frame, rows, 8) == {i: want[(True, i)][:2] for i, _ in rows}
+
+
+def test_substring_hot_minimizers_are_dealt_out(frame, monkeypatch):
+    monkeypatch.setattr(substring, "HOT", 2)
+    rows = _around_phrases(5, 120)
+    want = _kept(rows, 8)
+    hot, size = substring.hot_minimizers(frame(rows, "doc_id long, text string"), 8, 3, 1)
+    assert len(hot) > 3 and size == sum(len(t) for _, t in rows)
+    assert _removed(frame, rows, 8) == {i: want[(True, i)][:2] for i, _ in rows}
+
+
+def test_substring_ids_of_other_types_and_long_words(frame, monkeypatch):
+    from shapelab.llm import common
+
+    monkeypatch.setattr(common.WordHasher, "PIECE", 64)
+    long = "y" * 500
+    rows = [("b", "1 2 3 4 5 6 " + long), ("a", f"9 2 3 4 5 6 {long} 8"), (None, "3 4 5 6 7"), ("c", None)]
+    got = {r.doc_id: r.n_removed for r in substring.removal_digest(frame(rows, "doc_id string, text string"), k=4).collect()}
+    assert got == {None: 0, "a": 4, "b": 6, "c": 0}
+
+
 def _prints(text):
     import xxhash
 
@@ -220,9 +279,7 @@ def test_simhash_groups_equal_brute_force(frame):
             least[c] = min(least.get(c, i), i)
     want = sorted(str((i, f, least[c])) for (i, _), f, c in zip(rows, fp, comp))
     got = simhash.near_duplicates(frame(rows, "doc_id long, text string").withColumn("node", F.lit(1)), limit=3).collect()
-    assert sorted(str((r.doc_id, r.fp0 % 2**64, r.component_id)) for r in got) == want
-    kept = simhash.one_of_each(frame(rows, "doc_id long, text string")).collect()
-    assert sorted(r.doc_id for r in kept) == sorted(set(least.values()))
+    assert sorted(str((r.doc_id, r.fp % 2**64, r.component_id)) for r in got) == want
     assert simhash.near_duplicates(frame([], "doc_id long, text string")).count() == 0
 
 
