@@ -11,7 +11,11 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before kept
 5. bpe: every text becomes token ids that decode to the same bytes.
 
 Null texts count as empty; an empty text is clean.  Empty texts are copies of one
-another.  Extra columns pass through all stages but the last.
+another.  Texts of any length are taken whole.  Rows are judged as rows: rows that
+share an id or have none are kept or dropped by their own text, and of rows that
+repeat id and text one stays.  Ties go to the smaller id, then to the smaller text
+hash.  Empty tables run through.  Extra columns pass through all stages but the last,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -20,20 +24,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shapelab.llm import bpe, decontam, neardup, substring, toxicity
-from shapelab.llm.common import cut
+from shapelab.llm.common import release, stash
 from shapelab.llm.queries import rank_file, table
 
 
 def toxic_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of docs that score below 0.7; learned from the labels of rows that are left."""
     model = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return toxicity.without_toxic(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies."""
     return neardup.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with repeated passages cut from text, and n_chars made true where one was cut."""
     gone = "__words_removed"
     cleaned = substring.remove_repeats(docs, counted=gone)
     cleaned = cleaned.where((F.col(gone) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
@@ -43,10 +50,12 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of docs that hold no benchmark item."""
     return decontam.without_matches(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and the digest of the decoded bytes of every row."""
     return bpe.encode_verified(docs, *rank_file())
 
 
@@ -64,6 +73,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = []
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs = stash(stage(spark, docs, sf_dir))
+        release(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
