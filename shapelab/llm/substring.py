@@ -48,7 +48,8 @@ from .common import WordHasher, bound_batches, cut, distinct, lean, mix64, relea
 
 SLICE = 4 << 20  # bytes hashed at once
 HOLD = 32 << 20  # bytes whose spans are compared with one another before the shuffle
-BUCKET = 24 << 20  # bytes of text for each bucket
+PART = 64 << 20  # bytes of text for each partition of the shuffle at most
+BUCKETS = 8  # buckets for each of them, which evens out what hashing deals to one partition
 HOT = 1 << 13  # different spans under one minimizer, from which on they are dealt out
 MOST_HOT = 1 << 20  # hot minimizers at most; HOT grows with the corpus to that end
 PIECE = 64  # edges of a path that are verified together
@@ -218,7 +219,9 @@ def span_blocks(k: int, m: int, buckets: int, seed: int, shared):
         equal = np.zeros(len(s), bool)
         equal[1:] = (bucket[s][1:] == bucket[s][:-1]) & (n[s][1:] == n[s][:-1]) & (total[s][1:] == total[s][:-1])
         head = np.maximum.accumulate(np.where(equal, 0, np.arange(len(s))))
-        d_row, d_start, d_n, d_of, d_at, d_bucket = joined(row[s[equal]], start[s[equal]], n[s[equal]], row[s[head[equal]]], start[s[head[equal]]], bucket[s[equal]])
+        # What is known to repeat meets nothing in a bucket any more; it is dealt out evenly.
+        d_row, d_start, d_n, d_of, d_at = joined(row[s[equal]], start[s[equal]], n[s[equal]], row[s[head[equal]]], start[s[head[equal]]])
+        d_bucket = ((copy >> 24) * 31 + (copy & 0xFFFFFF) * 17 + np.arange(len(d_row)) // 4096) % buckets
         s = s[~equal]
         d_split = np.argsort(d_bucket, kind="stable")
         edge, d_edge = np.searchsorted(bucket[s], np.arange(buckets + 1)), np.searchsorted(d_bucket[d_split], np.arange(buckets + 1))
@@ -234,15 +237,15 @@ def span_blocks(k: int, m: int, buckets: int, seed: int, shared):
     return lean(run)
 
 
-def joined(row, start, n, of, at, bucket):
+def joined(row, start, n, of, at):
     """Runs that go on from one another at both places, as one run each."""
     by = np.lexsort((start, start - at, of, row))
-    row, start, n, of, at, bucket = (x[by] for x in (row, start, n, of, at, bucket))
+    row, start, n, of, at = (x[by] for x in (row, start, n, of, at))
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (of[1:] != of[:-1]) | (start[1:] != start[:-1] + n[:-1]) | (at[1:] != at[:-1] + n[:-1])
     first = np.flatnonzero(new)
     total = np.add.reduceat(n, first) if len(first) else n
-    return row[first], start[first], total, of[first], at[first], bucket[first]
+    return row[first], start[first], total, of[first], at[first]
 
 
 def _rows(copy, doc, mark, start, n, f_doc, f_mark, f_start):
@@ -304,10 +307,11 @@ def repeated_paths(placed: DataFrame, k: int = 20, m: int | None = None, seed: i
     spark = placed.sparkSession
     m = m or max(1, (k + 1) // 3)
     hot, size = hot_minimizers(placed, k, m, seed)
-    buckets = max(shuffle_partitions(spark), -(-size // BUCKET))
+    parts = max(shuffle_partitions(spark), -(-size // PART))
+    buckets = BUCKETS * parts
     shared = spark.sparkContext.broadcast(hot.tobytes())
     blocks = placed.select("doc", "mark", "text").mapInArrow(span_blocks(k, m, buckets, seed, shared), "bucket int, block binary")
-    found = stash(blocks.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(repeats_in_bucket, _RUN))
+    found = stash(blocks.repartition(parts, "bucket").groupBy("bucket").applyInArrow(repeats_in_bucket, _RUN))
     shared.unpersist()
     # Compaction over the ends of buckets: a path is led by a run that no run leads into.
     # Only the document and a hash of the rest stand for the runs that lead on.
@@ -368,32 +372,18 @@ def _digested(k: int):
     return lean(run)
 
 
-_PLACES = "array<struct<start:int,n:int>>"
-
-
-def _compared(k: int):
-    """(doc, mark, text, claims) -> (doc, mark, good, bad): runs of edges whose words are
-    those of the source, and pieces whose words are not."""
-
-    def run(batches):
-        for batch in row_slices(batches, SLICE):
-            good, bad = [], []
-            for text, claims in zip(batch.column("text").cast(pa.binary()), batch.column("claims")):
-                words, flat = Words(text.as_py() or b""), claims.values
-                start, n = flat.field("start").to_numpy(), flat.field("n").to_numpy()
-                same = np.array([words.digest(s, c + k - 1) == d for s, c, d in zip(start.tolist(), n.tolist(), flat.field("digest").to_pylist())], bool)
-                bad.append([{"start": s, "n": c} for s, c in zip(start[~same].tolist(), n[~same].tolist())])
-                start, n = start[same], n[same]
-                by = np.argsort(start, kind="stable")
-                start, stop = start[by], np.maximum.accumulate((start + n)[by])
-                new = np.ones(len(start), bool)
-                new[1:] = start[1:] > stop[:-1]
-                last = np.append(np.flatnonzero(new)[1:], len(start))[: new.sum()] - 1
-                good.append([{"start": s, "n": e - s} for s, e in zip(start[new].tolist(), stop[last].tolist())])
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("mark"), pa.array(good, kind), pa.array(bad, kind)], names=["doc", "mark", "good", "bad"])
-
-    return lean(run)
+def _held(words: Words, claims, k: int):
+    """(start, n) of the claimed pieces whose words are those of the source, as runs in order,
+    and of the others."""
+    start, n = claims.field("start").to_numpy(), claims.field("n").to_numpy()
+    same = np.array([words.digest(s, c + k - 1) == d for s, c, d in zip(start.tolist(), n.tolist(), claims.field("digest").to_pylist())], bool)
+    bad = start[~same], n[~same]
+    by = np.argsort(start[same], kind="stable")
+    begin, stop = start[same][by], np.maximum.accumulate((start + n)[same][by])
+    new = np.ones(len(begin), bool)
+    new[1:] = begin[1:] > stop[:-1]
+    last = np.append(np.flatnonzero(new)[1:], len(begin))[: new.sum()] - 1
+    return (begin[new], stop[last] - begin[new]), bad
 
 
 def _told(placed: DataFrame, asked: DataFrame, k: int) -> DataFrame:
@@ -404,26 +394,6 @@ def _told(placed: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     return told.dropDuplicates(["f_doc", "f_mark", "f_start", "n"])  # a row may stand twice
 
 
-def verified(placed: DataFrame, paths: DataFrame, k: int):
-    """((doc, mark, spans), the stashed table it stands in): the repeated runs of edges of each document whose
-    words are equal to those of the earlier place."""
-    where = ["f_doc", "f_mark", "f_start", "n"]
-    parts = pieces(paths)
-    told = stash(_told(placed, parts.select(*where), k))
-    lists = parts.join(told, where).groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "n", "digest")).alias("claims"))
-    rows = placed.join(lists, ["doc", "mark"]).select("doc", "mark", "text", "claims")
-    judged = stash(rows.mapInArrow(_compared(k), f"doc long, mark long, good {_PLACES}, bad {_PLACES}").dropDuplicates(["doc", "mark"]))
-    release(told)
-    failed = judged.where(F.size("bad") > 0).select("doc", "mark", F.explode("bad").alias("b"))
-    if failed.isEmpty():
-        return judged.withColumnRenamed("good", "spans"), judged
-    again = stash(_decided(placed, parts.join(failed.select("doc", "mark", "b.start", "b.n"), ["doc", "mark", "start", "n"]), k))
-    spans = judged.select("doc", "mark", F.explode("good").alias("s")).union(again.select("doc", "mark", F.struct("start", F.lit(1).alias("n"))))
-    both = stash(spans.groupBy("doc", "mark").agg(F.collect_list("s").alias("spans")))
-    release(judged, again)
-    return both, both
-
-
 def _decided(placed: DataFrame, parts: DataFrame, k: int) -> DataFrame:
     """(doc, mark, start) of the edges of parts, on either side, whose k words stand earlier
     among those edges.  Edges of one hash all came to its first place, so what is equal to
@@ -443,35 +413,69 @@ def covered(words: int, starts, counts, k: int) -> np.ndarray:
     return np.cumsum(delta[:-1]) > 0
 
 
+_PLACES = "array<struct<start:int,n:int>>"
+_PLACES_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))
+
+
+def _listed(runs):
+    return [{"start": s, "n": c} for s, c in zip(runs[0].tolist(), runs[1].tolist())]
+
+
 def without_repeats(docs: DataFrame, make, schema: str, key: str = "doc_id", k: int = 20) -> DataFrame:
-    """make(batch) -> batch for the rows of docs, with each row's repeated spans
-    [(start, n), ...] in column `__spans`."""
+    """make(batch, spans) -> batch for the rows of docs; spans holds for each row None or its
+    repeated runs of edges as (starts, counts), each of them verified."""
     bound_batches(docs.sparkSession)
     numbers = numbering(docs, key)
     placed = coordinates(docs.select(key, "text"), numbers, key).select("doc", "mark", "text")
     paths = repeated_paths(placed, k)
-    spans, used = verified(placed, paths, k)
-    per_doc = cut(spans.select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), F.col("spans").alias("__spans")))
-    release(paths, used)
-    rows = coordinates(docs, numbers, key, "__doc", "__mark").join(per_doc, ["__doc", "__mark"], "left").drop("__doc", "__mark")
+    parts, where = pieces(paths), ["f_doc", "f_mark", "f_start", "n"]
+    told = stash(_told(placed, parts.select(*where), k))
+    claims = parts.join(told, where).groupBy(F.col("doc").alias("__doc"), F.col("mark").alias("__mark")).agg(F.collect_list(F.struct("start", "n", "digest")).alias("__claims"))
+    rows = coordinates(docs, numbers, key, "__doc", "__mark")
 
-    def run(batches):
+    def judged(batches):
+        for batch in row_slices(batches, SLICE):
+            spans, good, bad = [], [], []
+            for text, claimed in zip(batch.column("text").cast(pa.binary()), batch.column("__claims")):
+                runs, failed = _held(Words(text.as_py() or b""), claimed.values, k) if claimed.is_valid else (None, ((),))
+                spans.append(runs)
+                good.append(_listed(runs) if len(failed[0]) else None)
+                bad.append(_listed(failed) if len(failed[0]) else None)
+            out = make(batch, spans)
+            more = [batch.column("__doc"), batch.column("__mark"), pa.array(good, _PLACES_ARROW), pa.array(bad, _PLACES_ARROW)]
+            yield pa.RecordBatch.from_arrays([*out.columns, *more], names=[*out.schema.names, "__doc", "__mark", "__good", "__bad"])
+
+    done = cut(rows.join(claims, ["__doc", "__mark"], "left").mapInArrow(lean(judged), f"{schema}, __doc long, __mark long, __good {_PLACES}, __bad {_PLACES}"))
+    release(told)
+    result = done.where("__bad IS NULL").drop("__doc", "__mark", "__good", "__bad")
+    failed = done.where("__bad IS NOT NULL").select(F.col("__doc").alias("doc"), F.col("__mark").alias("mark"), "__good", "__bad")
+    if failed.isEmpty():
+        release(paths)
+        return result
+    pool = parts.join(failed.select("doc", "mark", F.inline("__bad")).distinct(), ["doc", "mark", "start", "n"])
+    again = stash(_decided(placed, pool, k).join(failed.select("doc", "mark").distinct(), ["doc", "mark"]))
+    spans = failed.select("doc", "mark", F.inline_outer("__good")).union(again.select("doc", "mark", "start", F.lit(1).alias("n")))
+    lists = cut(spans.groupBy(F.col("doc").alias("__doc"), F.col("mark").alias("__mark")).agg(F.collect_set(F.struct("start", "n")).alias("__spans")))
+    release(paths, again)
+
+    def decided(batches):
         for batch in row_slices(batches, SLICE):
-            yield make(batch)
+            flat = [[x for x in runs if x["start"] is not None] for runs in batch.column("__spans").to_pylist()]
+            yield make(batch, [(np.array([x["start"] for x in runs], np.int64), np.array([x["n"] for x in runs], np.int64)) for runs in flat])
 
-    return rows.mapInArrow(lean(run), schema)
+    return result.union(rows.join(lists, ["__doc", "__mark"]).mapInArrow(lean(decided), schema))
 
 
 def digest_batch(k: int, key: str):
     """doc_id, n_words, n_removed and the hash of the kept words."""
 
-    def make(batch):
+    def make(batch, spans):
         n_words, n_removed, digest = [], [], []
-        for text, spans in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("__spans").to_pylist()):
-            words = (text or b"").split()
+        for text, runs in zip(batch.column("text").cast(pa.binary()), spans):
+            words = (text.as_py() or b"").split()
             n_words.append(len(words))
-            if spans:
-                gone = covered(len(words), np.array([s["start"] for s in spans]), np.array([s["n"] for s in spans]), k)
+            if runs is not None:
+                gone = covered(len(words), *runs, k)
                 words = [w for w, g in zip(words, gone.tolist()) if not g]
             n_removed.append(n_words[-1] - len(words))
             digest.append(sha256(b" ".join(words)))
@@ -485,11 +489,11 @@ def removal_digest(docs: DataFrame, key: str = "doc_id", k: int = 20) -> DataFra
     return without_repeats(docs.select(key, "text"), digest_batch(k, key), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string", key, k)
 
 
-def strip_text(data: bytes, spans, k: int) -> bytes:
+def strip_text(data: bytes, starts, counts, k: int) -> bytes:
     """The text without its repeated words; white space between kept words stays."""
     view = np.frombuffer(data, np.uint8)
     start, end, _ = word_bounds(view, np.array([0, len(view)]))
-    gone = covered(len(start), np.array([s["start"] for s in spans]), np.array([s["n"] for s in spans]), k)
+    gone = covered(len(start), starts, counts, k)
     begins = np.flatnonzero(gone & ~np.concatenate([[False], gone[:-1]]))
     stops = np.flatnonzero(gone & ~np.concatenate([gone[1:], [False]]))
     out, at = [], 0
@@ -505,11 +509,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", k: int = 20, counted: s
     carried = [c for c in docs.columns if c not in ("text", counted)]
     kinds = dict(docs.dtypes)
 
-    def make(batch):
+    def make(batch, spans):
         texts, removed = [], []
-        for text, spans in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("__spans").to_pylist()):
-            if spans:
-                kept = strip_text(text, spans, k)
+        for text, runs in zip(batch.column("text").cast(pa.binary()).to_pylist(), spans):
+            if runs is not None and len(runs[0]):
+                kept = strip_text(text, *runs, k)
                 removed.append(len(text.split()) - len(kept.split()))
                 text = kept
             else:
