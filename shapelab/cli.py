@@ -14,7 +14,7 @@ import sys
 
 from .operators import profile
 from .plans import render, rules, statements, verdict
-from .plans.facts import Facts
+from .plans.facts import Facts, again
 from .session import local_session
 from .sources import catalog, documents
 
@@ -45,7 +45,7 @@ def scripts(path: str) -> list[tuple[str, str]]:
 
 def validate(spark, document: dict, files, major: int = 16) -> dict:
     facts = facts_of(spark, document)
-    rows = verdict.capped(rules.findings(statements.statements(spark, files), facts, major), verdict.fact_ranks(facts)).cache()
+    rows = again(verdict.capped(rules.findings(statements.statements(spark, files), facts, major), verdict.fact_ranks(facts)))
     return render.result(verdict.combined(rows).first().asDict(), [r.asDict() for r in rows.collect()], documents.digest(document))
 
 
@@ -84,9 +84,9 @@ def main(argv: list[str] | None = None) -> int:
             print(json.dumps([dict(zip(statements._NAMES, r)) for r in statements.parse(files)], default=str))
             return 0
         res = validate(spark, doc, files, a.major)
-        print("\n".join(render.annotations(res, files[0][0])) if a.command == "annotate" else render.as_json(res) if a.json else render.as_text(res))
+        print("\n".join(render.annotations(res, os.path.join(a.script, "") if os.path.isdir(a.script) else os.path.join(os.path.dirname(a.script), ""))) if a.command == "annotate" else render.as_json(res) if a.json else render.as_text(res))
         return res["exit_code"]
-    except (OSError, ValueError) as error:
+    except (FileNotFoundError, PermissionError, IsADirectoryError, NotADirectoryError, documents.DocumentError) as error:
         print(json.dumps({"error": str(error)}), file=sys.stderr)
         return TOOL_ERROR
 

@@ -119,10 +119,7 @@ def assign(spark: SparkSession, children: int, parents: int, declared: int | Non
         return rows.select("child", F.when(F.col("child") < lost, F.lit(parents) + F.col("child")).otherwise(F.col("child") % parents).alias("parent"))
     placed = cumulative(target_counts(spark, children, parents, declared or children, shape))
     groups = placed.withColumn("parent", F.when(orphan_ranks(placed, children, orphan_fraction), F.lit(parents) + F.col("rank")).otherwise(F.col("rank")))
-    return groups.select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("child"), "parent")
-
-
-def parent_key(parent: Column, parents: int, key: Column, integer: bool = True, largest: int | None = None) -> Column:
-    """The key of a parent ordinal: the parent's own generator on it, no join; an orphan's
-    is one that no parent has."""
-    return F.when(parent < parents, key).otherwise(F.lit((largest if largest is not None else parents - 1) + 1) + parent - parents) if integer else key
+    # A large group is cut, so that no task makes all children of one parent.
+    parts = groups.select("parent", "first", "n", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {BLOCK}"))).alias("part"))
+    parts = parts.select("parent", (F.col("first") + F.col("part") * BLOCK).alias("low"), F.least(F.col("first") + F.col("n"), F.col("first") + (F.col("part") + 1) * BLOCK).alias("high"))
+    return parts.repartition("low").select(F.explode(F.sequence("low", F.col("high") - 1)).alias("child"), "parent")

@@ -73,19 +73,44 @@ def template(format_class: str, n: Column, values: list[str] | None = None) -> C
     return F.format_string(TEMPLATES.get(format_class, TEMPLATES["default"]), n)
 
 
+def _hex(n: Column, bits: int) -> Column:
+    return F.lpad(F.lower(F.hex(F.pmod(n, F.lit(1 << bits)))), bits // 4, "0")
+
+
+def bit_string(n: Column, width: int) -> Column:
+    """The low bits of n, as many as the type is wide (64 at most), the highest first."""
+    return F.right(F.lpad(F.bin(n), 64, "0"), F.lit(min(max(width, 1), 64)))
+
+
+# How a value of each type without a class is written.
+TYPED = {
+    "bool": lambda n: (F.pmod(n, F.lit(2)) == 0).cast("string"),
+    "inet": lambda n: template("ipv4", n),
+    "macaddr": lambda n: F.concat(F.lit("08:00:2b:"), F.regexp_replace(_hex(n, 24), "(..)(..)(..)", "$1:$2:$3")),
+    "macaddr8": lambda n: F.concat(F.lit("08:00:2b:"), F.regexp_replace(_hex(n, 40), "(..)(..)(..)(..)(..)", "$1:$2:$3:$4:$5")),
+    "interval": lambda n: F.format_string("%d seconds", n),
+    "json": lambda n: F.lit("{}"),
+    "xml": lambda n: F.format_string("<value>%d</value>", n),
+    "point": lambda n: F.format_string("(%d,%d)", n, n),
+    "bytea": lambda n: F.format_string("\\x%08x", n),
+    "uuid": lambda n: template("uuid", n),
+}
+_ALSO = {"boolean": "bool", "cidr": "inet", "jsonb": "json"}
+
+
+def has_form(kind: str) -> bool:
+    return _ALSO.get(kind, kind) in TYPED
+
+
 def typed(kind: str, n: Column) -> Column:
     """Values of types without a class, as text."""
-    return {
-        "bool": lambda: (F.pmod(n, F.lit(2)) == 1).cast("string"),
-        "inet": lambda: template("ipv4", n),
-        "macaddr": lambda: F.concat(F.lit("02:00:00:"), F.regexp_replace(F.lpad(F.lower(F.hex(F.pmod(n, F.lit(1 << 24)))), 6, "0"), "(..)(..)(..)", "$1:$2:$3")),
-        "interval": lambda: F.format_string("%d seconds", n),
-        "json": lambda: F.lit("{}"),
-        "xml": lambda: F.format_string("<v>%d</v>", n),
-        "point": lambda: F.format_string("(%d,%d)", n, n),
-        "bytea": lambda: F.format_string("\\x%08x", F.pmod(n, F.lit(1 << 32))),
-        "uuid": lambda: template("uuid", n),
-    }.get(kind, lambda: template("default", n))()
+    return TYPED.get(_ALSO.get(kind, kind), lambda n: template("default", n))(n)
+
+
+def one_element(value: Column) -> Column:
+    """An array literal of one element, what is structural in it escaped."""
+    text = F.replace(F.replace(value.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.concat(F.lit('{"'), text, F.lit('"}'))
 
 
 def fit_width(text: Column, n: Column, width: int | None, unique: bool) -> Column:
@@ -105,7 +130,3 @@ def clamp(value: Column, low=None, high=None) -> Column:
 
 def label(state: Column, labels: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in labels]), (pick(state, len(labels)) + 1).cast("int"))
-
-
-def placeholder_labels(count: int) -> list[str]:
-    return [f"label_{i}" for i in range(count)]

@@ -39,7 +39,7 @@ def after_load(table: TableShape) -> list[str]:
         if c.check:
             parts = [f"{ident(c.name)} {op} {v}" for op, v in ((">=", c.check[0]), ("<=", c.check[1])) if v is not None]
             out.append(f"ALTER TABLE {ident(table.name)} ADD CHECK ({' AND '.join(parts)});")
-    out += [f"ALTER TABLE {ident(table.name)} ADD FOREIGN KEY ({ident(c.name)}) REFERENCES {ident(c.reference[0])} NOT VALID;" for c in table.columns if c.reference]
+    out += [f"ALTER TABLE {ident(table.name)} ADD FOREIGN KEY ({ident(c.name)}) REFERENCES {ident(c.reference.parent.name)} NOT VALID;" for c in table.columns if c.reference]
     return out
 
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 RANKS = {"exact": 3, "measured": 2, "estimated": 1, "declared": 0, "absent": -1}
 TABLES = "table_name string, row_count long, rows_conf string"
@@ -14,6 +17,18 @@ REFS = "table_name string, column_name string, parent_table string, parent_colum
 INDEXES = "table_name string, index_name string, bytes long, bloat double"
 
 
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of the driver as a local table: Spark knows its size and runs no job to read it."""
+    kinds = to_arrow_schema(_parse_datatype_string(schema))
+    columns = list(zip(*rows)) if rows else [()] * len(kinds)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds))
+
+
+def again(df: DataFrame) -> DataFrame:
+    """The few rows of df as a local table, so that what reads them runs no joins again."""
+    return df.sparkSession.createDataFrame(df.toArrow())
+
+
 def rank(confidence: Column) -> Column:
     out = None
     for name, value in RANKS.items():
@@ -31,7 +46,7 @@ class Facts:
     @classmethod
     def of(cls, spark: SparkSession, tables=(), columns=(), refs=(), indexes=()) -> Facts:
         """Rows as dicts of the fields above; what is missing is null."""
-        frame = lambda rows, schema: spark.createDataFrame([tuple(r.get(f.split()[0]) for f in schema.split(", ")) for r in rows], schema)
+        frame = lambda rows, schema: local(spark, [tuple(r.get(f.split()[0]) for f in schema.split(", ")) for r in rows], schema)
         return cls(frame(tables, TABLES), frame(columns, COLUMNS), frame(refs, REFS), frame(indexes, INDEXES))
 
     def exact(self) -> Facts:

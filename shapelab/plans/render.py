@@ -46,10 +46,10 @@ def _escaped(text: str, more: str = "") -> str:
     return text
 
 
-def annotations(res: dict, file: str) -> list[str]:
-    """Workflow commands, one for each finding."""
+def annotations(res: dict, folder: str = "") -> list[str]:
+    """Workflow commands, one for each finding, at the statement's file and line."""
     command = {"error": "error", "warn": "warning", "info": "notice"}
-    return [f"::{command[f['severity']]} file={_escaped(file, ':,')},line={f.get('line') or 1},title={_escaped(f['code'], ':,')}::{_escaped(f['message'])}" for f in res["findings"]]
+    return [f"::{command[f['severity']]} file={_escaped(folder + (f.get('file') or ''), ':,')},line={f.get('line') or 1},title={_escaped(f['code'], ':,')}::{_escaped(f['message'])}" for f in res["findings"]]
 
 
 def summary(res: dict) -> str:

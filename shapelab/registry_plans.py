@@ -8,7 +8,7 @@ from .functions.numbers import round6
 from .hydrate import checks, engine, fanout
 from .operators import privacy, profile, references
 from .plans import apply, diff, rules, statements, verdict
-from .plans.facts import Facts
+from .plans.facts import Facts, local
 from .registry import PAIRS, R6, register, union_all
 from .session import table
 from .sources import catalog
@@ -108,12 +108,15 @@ def combine(spark, d):
     return verdict.combined(verdict.capped(f, ranks))
 
 
-_DEPS = [("f1", "a", 3), ("f1", "b", 1), ("f2", "a", 2), ("f3", "c", -1)]
+_DEPS = [("f1", "a", 3), ("f1", "b", 1), ("f2", "a", 2), ("f3", "c", None)]
 
 
-@register("verdict_dependency_min", f"SELECT f AS finding, CAST(min(r) AS INTEGER) AS confidence FROM {_values(_DEPS, 'f, p, r')} GROUP BY f")
+@register("verdict_dependency_min", f"SELECT f AS code, CAST(min(coalesce(r, -1)) AS INTEGER) AS confidence FROM {_values(_DEPS, 'f, p, r')} GROUP BY f")
 def dependency_min(spark, d):
-    return spark.createDataFrame(_DEPS, "finding string, path string, rank int").groupBy("finding").agg(F.min("rank").alias("confidence"))
+    on = {f: [p for g, p, _ in _DEPS if g == f] for f, _, _ in _DEPS}
+    found = local(spark, [(f, "warn", i, f, "c", "m", [f + "." + p for p in paths]) for i, (f, paths) in enumerate(on.items())], "code string, severity string, idx int, table_name string, column_name string, message string, depends_on array<string>")
+    ranks = local(spark, [(f + "." + p, r) for f, p, r in _DEPS if r is not None], "path string, rank int")
+    return verdict.capped(found, ranks).select("code", "confidence")
 
 
 # --- differences, governance --------------------------------------------------------
@@ -183,11 +186,13 @@ def redaction(spark, d):
 # --- hydration of tables --------------------------------------------------------------
 
 
-@register("hydrate_row_plan", "SELECT table_name, CASE WHEN n <= 0 THEN 0 ELSE greatest(1, CAST(trunc(n * 0.01) AS BIGINT)) END AS planned FROM (" + union_all(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in ("orders", "customer", "lineitem", "region")) + ")")
+_DECLARED = ("orders", "customer", "lineitem", "region")
+
+
+@register("hydrate_row_plan", "SELECT table_name, CASE WHEN n <= 0 THEN 0 ELSE greatest(1, CAST(trunc(n * 0.01) AS BIGINT)) END AS planned FROM (" + union_all(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in _DECLARED) + ")")
 def row_plan(spark, d):
-    counts = profile.row_counts({t: table(spark, d, t) for t in ("orders", "customer", "lineitem", "region")})
-    n = F.col("row_count")
-    return counts.select("table_name", F.when(n <= 0, 0).otherwise(F.greatest(F.lit(1), F.floor(n * 0.01))).cast("long").alias("planned"))
+    counts = profile.row_counts({t: table(spark, d, t) for t in _DECLARED}).collect()  # one row a table
+    return local(spark, [(r.table_name, fanout.plan_rows(r.row_count, 0.01)) for r in counts], "table_name string, planned long")
 
 
 def _shape_of(spark, d, name="orders_customer"):
@@ -209,13 +214,42 @@ def fk_orphans(spark, d):
     return references.orphan_fraction(made, "parent", spark.range(parents), "id")
 
 
+_OWNERS = engine.TableShape("public.owners", 100, [engine.ColumnShape("id", "bigint", unique=True, low=1000), engine.ColumnShape("code", "uuid", unique=True, format_class="uuid"), engine.ColumnShape("mail", "text", unique=True, format_class="email")])
+_CHILDREN = {"id": "bigint", "code": "uuid", "mail": "text"}
+_LOST = 0.05
+
+
+@register("hydrate_fk_resolves", union_all(f"SELECT '{c}' AS key, 2000 AS children, 100 AS orphans, 0 AS nulls" for c in _CHILDREN))
+def fk_resolves(spark, d):
+    """Whether references to keys of each kind meet the parent's made rows, but for the orphans asked for."""
+    parents, parts = engine.generate(spark, _OWNERS, 42), []
+    for name, kind in _CHILDREN.items():
+        child = engine.TableShape("public.children", 2000, [engine.ColumnShape("owner", kind, reference=engine.Reference(_OWNERS, name, None, _LOST))])
+        made = engine.generate(spark, child, 42).join(parents.select(F.col(name).alias("key"), F.lit(1).alias("there")), F.col("owner") == F.col("key"), "left")
+        parts.append(made.agg(F.lit(name).alias("key"), F.count("*").cast("int").alias("children"), F.count(F.when(F.col("there").isNull(), 1)).cast("int").alias("orphans"), F.count(F.when(F.col("owner").isNull(), 1)).cast("int").alias("nulls")))
+    return profile.union(parts)
+
+
+_TYPED = {"tags": "int[]", "flags": "bit(4)", "wire": "macaddr8", "card": "macaddr", "doc": "xml", "at": "point", "blob": "bytea", "ok": "boolean", "host": "cidr", "span": "interval", "more": "jsonb", "words": "text[]"}
+
+
+@register(
+    "hydrate_typed",
+    """SELECT i AS ordinal, '{"' || i || '"}' AS tags, right(lpad(bin(i), 64, '0'), 4) AS flags, '08:00:2b:00:00:00:' || h[1:2] || ':' || h[3:4] AS wire, '08:00:2b:00:' || h[1:2] || ':' || h[3:4] AS card,
+  '<value>' || i || '</value>' AS doc, '(' || i || ',' || i || ')' AS at, '\\x' || lpad(h, 8, '0') AS blob, i % 2 = 0 AS ok, '192.0.2.' || (i % 256) AS host, i || ' seconds' AS span, '{}' AS more, '{"val_' || i || '"}' AS words
+FROM (SELECT i, lpad(lower(hex(i)), 4, '0') AS h FROM range(300) t(i))""",
+)
+def typed(spark, d):
+    return engine.generate(spark, engine.TableShape("public.typed", 300, [engine.ColumnShape(c, k, unique=True) for c, k in _TYPED.items()]), 7)
+
+
 @register("hydrate_table")
 def hydrated(spark, d):
     c = engine.ColumnShape
     shape = engine.TableShape(
         "public.accounts",
         2000,
-        [c("id", "bigint", unique=True, low=1), c("email", "varchar(24)", 0.032, distinct=900, format_class="email", width=24), c("age", "integer", low=18, high=97, distinct=500), c("state", "order_state", labels=["new", "paid", "sent"]), c("score", "integer", bounds=[0.0, 1.0, 5.0, 1000.0]), c("made_at", "timestamp", low="2024-01-01", high="2024-02-01", distinct=40), c("owner_id", "bigint", reference=("public.owners", 100, fanout.Shape(20, 12, 60, 200), 0.0))],
+        [c("id", "bigint", unique=True, low=1), c("email", "varchar(24)", 0.032, distinct=900, format_class="email", width=24), c("age", "integer", low=18, high=97, distinct=500), c("state", "order_state", labels=["new", "paid", "sent"]), c("score", "integer", bounds=[0.0, 1.0, 5.0, 1000.0]), c("made_at", "timestamp", low="2024-01-01", high="2024-02-01", distinct=40), c("owner_id", "bigint", reference=engine.Reference(_OWNERS, "id", fanout.Shape(20, 12, 60, 200)))],
     )
     return engine.generate(spark, shape, 42).withColumn("made_at", F.date_format("made_at", "yyyy-MM-dd HH:mm:ss"))
 

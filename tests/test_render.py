@@ -6,17 +6,17 @@ import pytest
 
 from shapelab import cli
 from shapelab.hydrate import checks
-from shapelab.hydrate.engine import ColumnShape, TableShape
+from shapelab.hydrate.engine import ColumnShape, Reference, TableShape
 from shapelab.plans import ddl, render
 from shapelab.sources import documents
 
-FOUND = {"code": "RS-X-001", "severity": "error", "idx": 0, "table_name": "a|b", "message": "100%\nbad", "bucket": "slow"}
+FOUND = {"code": "RS-X-001", "severity": "error", "idx": 0, "file": "m,1.sql", "line": 7, "table_name": "a|b", "message": "100%\nbad", "bucket": "slow"}
 
 
 def test_results_render():
     res = render.result({"verdict": "FAIL", "exit_code": 2}, [FOUND], "sha256:ab")
     assert render.as_text(res).splitlines()[0].startswith("FAIL")
-    assert render.annotations(res, "m,1.sql") == ["::error file=m%2C1.sql,line=1,title=RS-X-001::100%25%0Abad"]
+    assert render.annotations(res, "db/") == ["::error file=db/m%2C1.sql,line=7,title=RS-X-001::100%25%0Abad"]
     assert "a\\|b" in render.summary(res) and json.loads(render.as_json(res))["exit_code"] == 2
     assert render.as_statement(res, "shape.yaml")["subject"][0]["digest"] == {"sha256": "ab"}
     with pytest.raises(ValueError):
@@ -25,7 +25,7 @@ def test_results_render():
 
 
 def test_ddl():
-    t = TableShape("public.a", 5, [ColumnShape("id", "bigint", unique=True), ColumnShape("s", "state", 0.5, labels=["it's"]), ColumnShape("n", "int", check=(1, 9)), ColumnShape("p", "bigint", reference=("public.b", 1, None, 0))])
+    t = TableShape("public.a", 5, [ColumnShape("id", "bigint", unique=True), ColumnShape("s", "state", 0.5, labels=["it's"]), ColumnShape("n", "int", check=(1, 9)), ColumnShape("p", "bigint", reference=Reference(TableShape("public.b", 1), "id"))])
     text = ddl.script([t])
     assert text[0] == "CREATE TYPE \"state\" AS ENUM ('it''s');"
     assert text[1].startswith('CREATE TABLE "public"."a" ("id" bigint NOT NULL, "n" int NOT NULL, "p" bigint NOT NULL, "s" state);')
@@ -60,9 +60,9 @@ def test_commands(spark, tmp_path, capsys):
     assert documents.parse(text)["tables"]["t"]["rows"] == {"value": 10, "confidence": "exact"}
     script.write_text("SET lock_timeout = '1s'; ALTER TABLE t ALTER s SET NOT NULL;")
     assert cli.main(["validate", str(shape), str(script)]) == 0
-    script.write_text("DROP TABLE t;")
+    script.write_text("SELECT 1;\n\nDROP TABLE t;")
     assert cli.main(["validate", "--json", str(shape), str(script)]) == 1
     capsys.readouterr()
-    assert cli.main(["annotate", str(shape), str(script)]) == 1 and "::warning" in capsys.readouterr().out
+    assert cli.main(["annotate", str(shape), str(script)]) == 1 and f"::warning file={script},line=3," in capsys.readouterr().out
     assert cli.main(["plan", str(shape), str(script)]) == 0 and cli.main(["inspect", str(shape)]) == 0
     assert cli.main(["explain", "RS-LOCK-001"]) == 0 and cli.main(["explain", "none"]) == 3 and cli.main(["validate", "missing.yaml", str(script)]) == 3

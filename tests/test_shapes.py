@@ -77,9 +77,12 @@ def test_long_tail_is_reproduced(spark):
     assert 5 / 2.5 <= f.p50 <= 7.5 and 40 <= f.p95 <= 150 and 320 <= f["max"] <= 1200 and f["max"] >= 5 * f["mean"]
 
 
+_OWNERS = engine.TableShape("o", 50, [engine.ColumnShape("id", "bigint", unique=True, low=1000)])
+
+
 def _table(rows=3000):
     c = engine.ColumnShape
-    return engine.TableShape("public.a", rows, [c("id", "bigint", unique=True, low=1), c("email", "text", 0.1, distinct=900, format_class="email"), c("n", "int", low=5, high=9, check=(6, 8)), c("owner", "bigint", reference=("o", 50, None, 0.02))])
+    return engine.TableShape("public.a", rows, [c("id", "bigint", unique=True, low=1), c("email", "text", 0.1, distinct=900, format_class="email"), c("n", "int", low=5, high=9, check=(6, 8)), c("owner", "bigint", reference=engine.Reference(_OWNERS, "id", None, 0.02))])
 
 
 def test_rows_depend_on_seed_and_ordinal_only(spark):
@@ -90,7 +93,23 @@ def test_rows_depend_on_seed_and_ordinal_only(spark):
     assert a.select("email").exceptAll(engine.generate(spark, _table(), 43).select("email")).count() > 500
     assert engine.conformance(a.drop("owner"), engine.TableShape("t", 0, _table().columns[:3])).count() == 0
     assert a.agg(F.min("n"), F.max("n")).first() == (6, 8)
-    assert references.orphan_fraction(a, "owner", spark.range(50), "id").first().orphan_fraction == 0.02
+    assert references.orphan_fraction(a, "owner", engine.generate(spark, _OWNERS, 42), "id").first().orphan_fraction == 0.02
+
+
+def test_loaded_tables_refer_to_one_another(spark, tmp_path):
+    missed = engine.load(spark, [_table(500), _OWNERS], str(tmp_path), 42)
+    assert missed == {"public.a.owner": 0} and [t.name for t in engine.load_order([_table(), _OWNERS])] == ["o", "public.a"]
+    with pytest.raises(engine.BudgetError):
+        engine.load(spark, [_table(500)], str(tmp_path), 42, max_cells=1999)
+    with pytest.raises(engine.UnsupportedTypeError, match="t.x"):
+        engine.generate(spark, engine.TableShape("t", 5, [engine.ColumnShape("x", "int4multirange")]), 1)
+    assert engine.resolve_type("a", {"a": "b", "b": "text"}) == "text" and engine.resolve_type("a", {"a": "a"}) == "a"
+
+
+def test_a_whale_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(fanout, "BLOCK", 7)
+    made = fanout.assign(spark, 100, 5, 100, fanout.Shape(20, 1, 1, 90)).toPandas()
+    assert sorted(made.child) == list(range(100)) and made.groupby("parent").size().max() > 80
 
 
 def test_unsupported_types_are_named(spark):
