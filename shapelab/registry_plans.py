@@ -4,36 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import registry_rules
 from .functions.numbers import round6
 from .hydrate import checks, engine, fanout
 from .operators import privacy, profile, references
 from .plans import apply, diff, rules, statements, verdict
-from .plans.facts import Facts, local
+from .plans.facts import COLUMNS, INDEXES, REFS, TABLES, Facts, local
 from .registry import PAIRS, R6, register, union_all
 from .session import table
 from .sources import catalog
 from .sources.scripts import redact_url, scrub
 
 #: One script that sets off every rule, two files for the transaction rules.
-SCRIPT = [
-    (
-        "001_change.sql",
-        """ALTER TABLE users ALTER COLUMN email SET NOT NULL, ADD COLUMN token uuid DEFAULT gen_random_uuid();
-ALTER TABLE users ADD CONSTRAINT u UNIQUE (email); CREATE UNIQUE INDEX ON users (lower(email));
-CREATE UNIQUE INDEX users_email ON public.users (email);
-BEGIN; CREATE INDEX CONCURRENTLY i ON orders (user_id); COMMIT;
-ALTER TABLE orders ADD CONSTRAINT fk FOREIGN KEY (user_id) REFERENCES users (id) NOT VALID;
-ALTER TABLE orders VALIDATE CONSTRAINT fk;
-ALTER TABLE orders ADD CONSTRAINT c CHECK (amount > 0);
-UPDATE orders SET note = 'x; -- y' WHERE amount > 3; UPDATE orders SET note = '' WHERE id BETWEEN 1 AND 1000;
-DELETE FROM users; /* all /* of */ them */
-ALTER TABLE orders ALTER COLUMN amount TYPE integer; REINDEX TABLE orders; DROP INDEX orders_i;
-TRUNCATE public.orders; DROP TABLE logs; ALTER TABLE users RENAME COLUMN a TO b; ALTER TABLE users REPLICA IDENTITY FULL;
-ALTER TABLE users ALTER email DROP NOT NULL; ALTER TABLE users DROP COLUMN email;
-ALTER TABLE parts ATTACH PARTITION parts_1 FOR VALUES IN (1); VACUUM;""",
-    ),
-    ("002_more.sql", "ALTER TABLE orders VALIDATE CONSTRAINT fk;"),
-]
+_FILES = {
+    "001_change.sql": [
+        "ALTER TABLE users ALTER COLUMN email SET NOT NULL, ADD COLUMN token uuid DEFAULT gen_random_uuid()",
+        "ALTER TABLE users ADD CONSTRAINT u UNIQUE (email)",
+        "CREATE UNIQUE INDEX ON users (lower(email))",
+        "CREATE UNIQUE INDEX users_email ON public.users (email)",
+        "BEGIN",
+        "CREATE INDEX CONCURRENTLY i ON orders (user_id)",
+        "COMMIT",
+        "ALTER TABLE orders ADD CONSTRAINT fk FOREIGN KEY (user_id) REFERENCES users (id) NOT VALID",
+        "ALTER TABLE orders VALIDATE CONSTRAINT fk",
+        "ALTER TABLE orders ADD CONSTRAINT c CHECK (amount > 0)",
+        "UPDATE orders SET note = 'x; -- y' WHERE amount > 3",
+        "UPDATE orders SET note = '' WHERE id BETWEEN 1 AND 1000",
+        "DELETE FROM users",
+        "/* all /* of */ them */\nALTER TABLE orders ALTER COLUMN amount TYPE integer",
+        "REINDEX TABLE orders",
+        "DROP INDEX orders_i",
+        "TRUNCATE public.orders",
+        "DROP TABLE logs",
+        "ALTER TABLE users RENAME COLUMN a TO b",
+        "ALTER TABLE users REPLICA IDENTITY FULL",
+        "ALTER TABLE users ALTER email DROP NOT NULL",
+        "ALTER TABLE users DROP COLUMN email",
+        "ALTER TABLE parts ATTACH PARTITION parts_1 FOR VALUES IN (1)",
+        "VACUUM",
+    ],
+    "002_more.sql": ["ALTER TABLE orders VALIDATE CONSTRAINT fk"],
+}
+SCRIPT = [(file, ";\n".join(found)) for file, found in _FILES.items()]
 _TABLES = [{"table_name": "public.users", "row_count": 5_000_000, "rows_conf": "exact"}, {"table_name": "public.orders", "row_count": 10_000_000, "rows_conf": "estimated"}]
 _COLUMNS = [
     {"table_name": "public.users", "column_name": "email", "data_type": "text", "null_fraction": 0.02, "nulls_conf": "exact", "is_unique": False, "unique_conf": "exact"},
@@ -57,16 +69,40 @@ def _values(rows: list[tuple], names: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(quote(v) for v in r) + ')' for r in rows)}) v({names})"
 
 
-@register("statements_parsed")
+_ALL = [(file, sql.split("*/\n")[-1]) for file, found in _FILES.items() for sql in found]
+_FACTS = (
+    _values([(i, f, q) for i, (f, q) in enumerate(_ALL)], "idx, file, sql"),
+    *(_values([tuple(r.get(n.split()[0]) for n in schema.split(", ")) for r in rows], ", ".join(n.split()[0] for n in schema.split(", "))) for rows, schema in ((_TABLES, TABLES), (_COLUMNS, COLUMNS), (_REFS, REFS), (_INDEXES, INDEXES))),
+)
+_CTES = registry_rules.base(*_FACTS)
+
+# What each statement of the script is, by its text.
+_KINDS = {
+    "SET NOT NULL": "set_not_null", "ADD COLUMN": "add_column", "ADD CONSTRAINT \\w+ UNIQUE": "add_unique", "^CREATE UNIQUE INDEX": "create_unique_index", "^BEGIN": "begin", "^CREATE INDEX": "create_index", "^COMMIT": "end", "ADD CONSTRAINT \\w+ FOREIGN KEY": "add_fk",
+    "VALIDATE CONSTRAINT": "validate", "ADD CONSTRAINT \\w+ CHECK": "add_check", "^UPDATE": "update", "^DELETE": "delete", " TYPE ": "type_change", "^REINDEX": "reindex", "^DROP INDEX": "drop_index", "^TRUNCATE": "truncate", "^DROP TABLE": "drop_table",
+    "RENAME COLUMN": "rename_column", "REPLICA IDENTITY": "replica_identity", "DROP NOT NULL": "drop_not_null", "DROP COLUMN": "drop_column", "ATTACH PARTITION": "attach_partition", "^VACUUM": "non_transactional",
+}
+
+
+@register(
+    "statements_parsed",
+    f"""WITH {_CTES}, k(pattern, kind) AS (VALUES {', '.join(f"('(?i){p}', '{k}')" for p, k in _KINDS.items())}),
+a AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY strpos(sql, regexp_extract(sql, pattern))) - 1 AS action FROM p JOIN k ON regexp_matches(sql, pattern))
+SELECT idx, CAST(action AS INTEGER) AS action, file, CAST(1 + idx - min(idx) OVER (PARTITION BY file) + CASE WHEN idx >= 13 AND file LIKE '001%' THEN 1 ELSE 0 END AS INTEGER) AS line, kind, raw AS table_name,
+  CASE kind WHEN 'set_not_null' THEN regexp_extract(sql, '(?i)COLUMN (\\w+) SET', 1) WHEN 'add_column' THEN regexp_extract(sql, '(?i)ADD COLUMN (\\w+)', 1) WHEN 'add_fk' THEN regexp_extract(sql, '(?i)KEY \\((\\w+)', 1) WHEN 'add_check' THEN regexp_extract(sql, '(?i)CHECK \\((\\w+)', 1)
+    WHEN 'type_change' THEN regexp_extract(sql, '(?i)COLUMN (\\w+)', 1) WHEN 'rename_column' THEN regexp_extract(sql, '(?i)COLUMN (\\w+)', 1) WHEN 'drop_column' THEN regexp_extract(sql, '(?i)COLUMN (\\w+)', 1) WHEN 'drop_not_null' THEN regexp_extract(sql, '(?i)ALTER (\\w+) DROP', 1)
+    WHEN 'update' THEN nullif(regexp_extract(sql, '(?i)WHERE (\\w+) BETWEEN', 1), '') END AS column_name,
+  CASE WHEN kind IN ('update', 'delete') THEN CASE WHEN sql NOT LIKE '%WHERE%' THEN 'none' WHEN sql LIKE '%BETWEEN%' THEN 'range' ELSE 'other' END END AS where_kind FROM a""",
+)
 def parsed(spark, d):
     return script(spark).select("idx", "action", "file", "line", "kind", "table_name", "column_name", "where_kind")
 
 
 for _code in sorted(rules.RULES):
-    register("rule_" + _code.lower().replace("-", "_"))(lambda spark, d, c=_code: rules.findings(script(spark), facts(spark), codes=[c]).select("code", "severity", "idx", "table_name", "column_name", "message", "bucket"))
+    register("rule_" + _code.lower().replace("-", "_"), registry_rules.rule(_code, _CTES))(lambda spark, d, c=_code: rules.findings(script(spark), facts(spark), codes=[c]).select("code", "severity", "idx", "table_name", "column_name", "message", "bucket"))
 
 
-@register("findings_all")
+@register("findings_all", registry_rules.every(_CTES))
 def findings_all(spark, d):
     return verdict.capped(rules.findings(script(spark), facts(spark)), verdict.fact_ranks(facts(spark))).select("code", "severity", "idx", "table_name", "column_name", "confidence", "verdict")
 
