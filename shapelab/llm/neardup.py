@@ -10,8 +10,11 @@ with a chance of (1 - s**ROWS)**BANDS, 5e-8 at 0.8.  Equal sets are one node and
 no comparison.
 
 Each band's members are compared with one of them first, another one in each band, so
-a large group of near copies falls together without its pairs being listed; after that
-all pairs of a band are compared that are still in different components.
+a large group of near copies falls together without its pairs being listed.  What is
+still in different components of one band is compared pair by pair, but only where two
+bounds leave room for 0.8: how many shingles of a set stand in any other of these sets
+(one that was changed in too many places has too few), and how many residues of its
+shingles the other set lacks.  Both hold for every pair, so no link is lost by them.
 
 Defined results: words are split at white space and A-Z lower-cased; a text of one to
 four words is one shingle; texts without a word (null, empty, white space) are copies
@@ -36,6 +39,7 @@ from .simhash import components, links, majority, shingle_hashes
 
 WIDTH = 5
 ROWS, BANDS = 4, 32
+WORDS = 16  # of the bitmap of a set
 #: Sets of fewer shingles reach 0.8 with equal sets only: 3 of 4 is less.
 _LEAST = 4
 _FACTORS = mix64(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -80,15 +84,22 @@ def _prints(docs: DataFrame, key: str) -> DataFrame:
     return rows.mapInArrow(lean(run), f"`{key}` {dict(docs.dtypes)[key]}, __mark string, name binary, size int, fp long, bands array<long>")
 
 
+def _bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Which of 64 x WORDS residues the shingles have, as numbers of 64 bits."""
+    seen = np.zeros(64 * WORDS, bool)
+    seen[(shingles % np.uint64(64 * WORDS)).astype(np.int64)] = True
+    return np.packbits(seen, bitorder="little").view(np.int64)
+
+
 def _sets(texts: DataFrame) -> DataFrame:
-    """name of each text's set and its shingles."""
+    """name of each text's set, its shingles and their bitmap."""
 
     def run(batches):
         for batch in row_slices(batches, 4 << 20):
             found = [distinct(shingle_hashes(text.as_py() or b"", WIDTH)) for text in batch.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in found], pa.binary()), _lists([x.view(np.int64) for x in found])], names=["name", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in found], pa.binary()), _lists([x.view(np.int64) for x in found]), _lists([_bitmap(x) for x in found])], names=["name", "shingles", "bits"])
 
-    return texts.select("text").mapInArrow(lean(run), "name binary, shingles array<long>")
+    return texts.select("text").mapInArrow(lean(run), "name binary, shingles array<long>, bits array<long>")
 
 
 def _near_sizes(x, y):
@@ -105,6 +116,22 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(9 * shared >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
 
 
+def _shared_sizes(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """nodes(node, size) that can be linked with one another, and `common`, how many of their
+    shingles stand in another of these sets, as a stashed table.  What two sets share is
+    common, so a set with fewer than 0.8 of common shingles has no partner; without those
+    sets, others have fewer common shingles still."""
+    now = stash(nodes)
+    for _ in range(3):
+        each = now.join(sets, "node").select("node", F.explode("shingles").alias("shingle"))
+        alone = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+        common = F.col("size") - F.coalesce("alone", F.lit(0))
+        then = stash(now.select("node", "size").join(alone, "node", "left").select("node", "size", common.alias("common")).where(5 * F.col("common") >= 4 * F.col("size")))
+        release(now)
+        now = then
+    return now
+
+
 def _pairs_of(found: DataFrame) -> DataFrame:
     return found.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -137,7 +164,7 @@ def grouped(docs: DataFrame, key: str = "doc_id"):
 
     wanted = members.select("node").union(close.select("a")).union(close.select("b")).distinct().join(nodes.select("node", "name", "one"), "node")
     texts = docs.select(key, "text").join(wanted.select(F.col(f"one.{key}").alias("__least_key"), F.col("one.__mark").alias("__least_mark")).distinct(), F.col(key).eqNullSafe(F.col("__least_key")) & (F.md5(F.coalesce(F.col("text"), F.lit(""))) == F.col("__least_mark")), "left_semi")
-    sets = stash(_sets(texts).dropDuplicates(["name"]).join(wanted.select("node", "name"), "name").select("node", "shingles"))
+    sets = stash(_sets(texts).dropDuplicates(["name"]).join(wanted.select("node", "name"), "name").select("node", "shingles", "bits"))
 
     first = members.where((F.col("node") != F.col("lead")) & _near_sizes(F.col("size"), F.col("lead_size"))).select(F.col("node").alias("x"), F.col("lead").alias("y"))
     first = stash(_pairs_of(first).union(close).distinct())
@@ -146,13 +173,18 @@ def grouped(docs: DataFrame, key: str = "doc_id"):
     placed = members.select("band", "node", "size").join(root.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("band")
     apart = stash(placed.join(mixed, "band", "left_semi"))
-    roots = apart.select("band", "root").distinct()
-    x = roots.withColumnRenamed("root", "x").join(roots.withColumnRenamed("root", "y"), "band").where("x < y")
-    x = x.join(apart.select("band", F.col("root").alias("x"), F.col("node").alias("nx"), F.col("size").alias("sx")), ["band", "x"])
-    x = x.join(apart.select("band", F.col("root").alias("y"), F.col("node").alias("ny"), F.col("size").alias("sy")), ["band", "y"])
-    rest = stash(_pairs_of(x.where(_near_sizes(F.col("sx"), F.col("sy"))).select(F.col("nx").alias("x"), F.col("ny").alias("y"))).join(first, ["a", "b"], "left_anti"))
+    able = _shared_sizes(apart.select("node", "size").distinct(), sets)
+    facts = able.select("node", "common").join(sets.select("node", "bits"), "node").join(nodes.select("node", "bands"), "node")
+    left = stash(apart.join(facts, "node"))
+    names = {"root": "r", "node": "", "size": "s", "common": "c", "bits": "m", "bands": "l"}
+    x, y = (left.select("band", *[F.col(a).alias(b + c) for a, b in names.items()]) for c in "xy")
+    lacking = lambda a, b: sum((F.bit_count(F.col(a)[i].bitwiseAND(F.bitwise_not(F.col(b)[i]))) for i in range(WORDS)), F.lit(0))  # noqa: E731  of one set in the other, at least
+    most = F.least("cx", "cy", F.col("sx") - lacking("mx", "my"), F.col("sy") - lacking("my", "mx"))
+    once = F.array_intersect("lx", "ly")[0] == F.col("band")  # a pair that shares several bands is named in one
+    rest = x.join(y, "band").where((F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & (9 * F.least("cx", "cy") >= 4 * (F.col("sx") + F.col("sy"))) & (9 * most >= 4 * (F.col("sx") + F.col("sy"))) & once)
+    rest = stash(rest.select(F.col("x").alias("a"), F.col("y").alias("b")).join(first, ["a", "b"], "left_anti"))
     all_links = stash(alike.union(_similar(rest, sets)))
-    release(members, close, sets, first, root, apart, rest, alike)
+    release(members, close, sets, first, root, apart, able, left, rest, alike)
 
     root = components(all_links)
     rooted = stash(nodes.select("node", "name").join(root.select("node", "root"), "node", "left").select("name", F.coalesce("root", "node").alias("root")))
