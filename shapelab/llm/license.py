@@ -12,6 +12,8 @@ Base phrases are counted apart and their labels always stay.
 
 Defined results: a null text is empty; an empty text has no words, no labels, and
 score 0; equal detections count once.
+Texts of any length are read whole; repeated rows get equal results and an empty table
+gives an empty one; only the key and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations

@@ -17,6 +17,8 @@ no part, nor do rows without an id; vectors meet those of the same dimension;
 rows that share the query's id are its own; equal scores rank by id, a repeated
 query id asks once, with its least vector, and repeated candidates count as often
 as they stand.
+Only the key and vector are read, so other columns may have any names; an empty table
+gives an empty result.  Scores have 64 bits: products beyond them wrap.
 """
 
 from __future__ import annotations
