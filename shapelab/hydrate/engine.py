@@ -112,6 +112,24 @@ def cell(seed: int, table: str, c: ColumnShape, ordinal: Column) -> Column:
     return values.fit_width(values.template(c.format_class or "default", n), n, c.width, c.unique)
 
 
+# Names of the types of DataFrames.
+_FRAME_TYPES = {"string": "text", "binary": "bytea", "double": "double precision", "float": "real", "tinyint": "smallint", "timestamp_ntz": "timestamp"}
+
+
+def tables_of(document: dict) -> list[TableShape]:
+    """The table shapes of a shape document; a column without facts gets those of its type."""
+    value = lambda f: f.get("value") if isinstance(f, dict) else f
+    out = {t: TableShape(t, int(value(body.get("rows")) or 0)) for t, body in (document.get("tables") or {}).items()}
+    for t, shape in out.items():
+        body = document["tables"][t]
+        refs = {r["column"]: r for r in body.get("references") or [] if r.get("parent") in out and r.get("parent_column")}
+        for c, x in sorted((body.get("columns") or {}).items()):
+            kind, span, r, fan = x.get("type") or "text", x.get("range") or {}, refs.get(c), (refs.get(c) or {}).get("fanout")
+            ref = Reference(out[r["parent"]], r["parent_column"], fanout.Shape(*[fan.get(k) for k in ("mean", "p50", "p95", "max")]) if fan else None, float(value(r.get("orphan_fraction")) or 0.0)) if r else None
+            shape.columns.append(ColumnShape(c, _FRAME_TYPES.get(kind, kind), float(value(x.get("null_fraction")) or 0.0), bool(value(x.get("unique"))), value(x.get("distinct")), span.get("min"), span.get("max"), format_class=x.get("format"), reference=ref))
+    return list(out.values())
+
+
 def parent_key(seed: int, ref: Reference, parents: int, slot: Column) -> Column:
     """The key of a parent by its ordinal: the parent's own expression on that ordinal, so no
     join is needed.  Ordinals from `parents` on are orphans: keys are unique, so no parent

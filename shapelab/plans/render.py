@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+CONFIDENCE = {3: "exact", 2: "measured", 1: "estimated", 0: "declared"}
 MARKS = {"error": "x", "warn": "!", "info": "i"}
 
 
@@ -30,7 +31,11 @@ def as_json(res: dict) -> str:
 
 def as_text(res: dict) -> str:
     lines = [f"{res['verdict']}  ({len(res['findings'])} findings)"]
-    lines += [f" {MARKS[f['severity']]} {f['code']} {f.get('table_name') or '-'}: {f['message']}" + (f" [{f['bucket']}]" if f.get("bucket") else "") for f in res["findings"]]
+    for f in res["findings"]:
+        lines.append(f" {MARKS[f['severity']]} {f['code']} {f.get('table_name') or '-'}: {f['message']}")
+        lines += [f"    duration: {f['bucket']}"] if f.get("bucket") else []
+        lines += [f"    rests on: {', '.join(f['depends_on'])} [{CONFIDENCE.get(f.get('confidence'), 'absent')}]"] if f.get("depends_on") else []
+        lines += [f"    resolve: profile the source again with exact counts to raise {f['resolve']}"] if f.get("resolve") else []
     return "\n".join(lines)
 
 

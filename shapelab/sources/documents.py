@@ -15,6 +15,10 @@ class DocumentError(ValueError):
     """A document that cannot be read: an unknown major version, or a digest that differs."""
 
 
+class VersionError(DocumentError):
+    """A document of a major version that is not known."""
+
+
 def number(x: float) -> str:
     """Six significant digits."""
     return f"{x:.6g}"
@@ -57,7 +61,7 @@ def parse(text: str, verify: bool = True) -> dict:
     meta = document.get("meta") or {}
     major = str(meta.get("version", VERSION)).split(".")[0]
     if major != VERSION.split(".")[0]:
-        raise DocumentError(f"major version {major} is not known")
+        raise VersionError(f"major version {major} is not known")
     if verify and meta.get("digest") and meta["digest"] != digest(document):
         raise DocumentError("the digest differs from the contents")
     for table in (document.get("tables") or {}).values():

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from shapelab import registry, registry_plans  # noqa: F401
+from shapelab import registry, registry_plans, registry_structure  # noqa: F401
 from shapelab.session import TABLES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

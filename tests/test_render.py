@@ -17,6 +17,9 @@ def test_results_render():
     res = render.result({"verdict": "FAIL", "exit_code": 2}, [FOUND], "sha256:ab")
     assert render.as_text(res).splitlines()[0].startswith("FAIL")
     assert render.annotations(res, "db/") == ["::error file=db/m%2C1.sql,line=7,title=RS-X-001::100%25%0Abad"]
+    rests = FOUND | {"depends_on": ["a.b.unique"], "confidence": 1, "resolve": "a.b"}
+    said = render.as_text(render.result({"verdict": "FAIL", "exit_code": 2}, [rests])).splitlines()
+    assert [x.strip() for x in said[-3:]] == ["duration: slow", "rests on: a.b.unique [estimated]", "resolve: profile the source again with exact counts to raise a.b"]
     assert "a\\|b" in render.summary(res) and json.loads(render.as_json(res))["exit_code"] == 2
     assert render.as_statement(res, "shape.yaml")["subject"][0]["digest"] == {"sha256": "ab"}
     with pytest.raises(ValueError):
@@ -65,4 +68,18 @@ def test_commands(spark, tmp_path, capsys):
     capsys.readouterr()
     assert cli.main(["annotate", str(shape), str(script)]) == 1 and f"::warning file={script},line=3," in capsys.readouterr().out
     assert cli.main(["plan", str(shape), str(script)]) == 0 and cli.main(["inspect", str(shape)]) == 0
+    assert cli.main(["verify", str(shape), str(tmp_path)]) == 0
+    made = tmp_path / "made"
+    assert cli.main(["hydrate", str(shape), str(made), "--scale", "2"]) == 0 and spark.read.parquet(f"{made}/t.parquet").count() == 20
+    assert cli.main(["hydrate", str(shape), str(made), "--max-cells", "3"]) == 3
+    spark.range(3).selectExpr("cast(id as int) AS id").write.parquet(str(tmp_path / "other" / "t.parquet"))
+    assert cli.main(["verify", str(shape), str(tmp_path / "other")]) == 1
+    capsys.readouterr()
+    assert cli.main(["describe", str(shape)]) == 0 and json.loads(capsys.readouterr().out)["tables"] == [{"table": "t", "rows": {"value": 10, "confidence": "exact"}, "columns": 2}]
+    assert cli.main(["describe", str(shape), "--table", "t"]) == 0
+    assert [(c["name"], c["type"], c["has_range"]) for c in json.loads(capsys.readouterr().out)["columns"]] == [("id", "bigint", True), ("s", "string", False)]
+    assert cli.main(["describe", str(shape), "--table", "none"]) == 3 and json.loads(capsys.readouterr().err)["category"] == "bad_usage"
+    old = tmp_path / "old.yaml"
+    old.write_text("meta: {version: '9.0'}\ntables: {}\n")
+    assert cli.main(["describe", str(old)]) == 3 and json.loads(capsys.readouterr().err)["category"] == "unknown_version"
     assert cli.main(["explain", "RS-LOCK-001"]) == 0 and cli.main(["explain", "none"]) == 3 and cli.main(["validate", "missing.yaml", str(script)]) == 3
