@@ -14,8 +14,12 @@ reached candidates mark those they jump to, and all jumps double.  Records whose
 block holds the magic are put together again from their pieces.
 
 Defined results: a null html is an empty payload; a null url has no target line;
-a null page_id is written as `null` and reads as null; rows that repeat page_id
-and html are written as often; an empty table reads as an empty table.
+a null page_id is written as `null` and reads as null, and so does one that is no
+whole number; rows that repeat page_id and html are written as often, and of equal
+payloads all rows with the smallest page_id are responses; payloads of any length
+are one record's block; white space and control characters of a url are written as
+%20; other columns of pages, whatever their names, are left out; an empty table
+reads as an empty table.
 """
 
 from __future__ import annotations
@@ -144,7 +148,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     broken = cut(records.where(~F.col("alone")))
     result = whole.select("page_id", "kind", "refers_to", F.col("length").alias("block_bytes"), "digest", "said", "said_bytes")
     if not broken.isEmpty():
-        result = result.union(_rejoined(parts, found, broken))
+        result = result.union(_rejoined(parts, found, chain, broken))
     revisit = F.col("kind") == "revisit"
     return result.select(
         "page_id",
@@ -155,10 +159,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _rejoined(parts: DataFrame, found: DataFrame, broken: DataFrame) -> DataFrame:
-    """Records whose block holds the magic: their pieces are read again and joined."""
-    near = found.select("file", "at", "block", "seq").join(broken.select("file", F.col("at").alias("of"), "next"), "file")
-    needed = near.where((F.col("at") >= F.col("of")) & (F.col("at") < F.col("next"))).select("file", "block", "seq", "at", "of")
+def _rejoined(parts: DataFrame, found: DataFrame, chain: DataFrame, broken: DataFrame) -> DataFrame:
+    """Records whose block holds the magic: their pieces are read again and joined.  A piece
+    belongs to the last record on the chain that starts at or before it, so one pass over
+    the offsets of a file finds the pieces of all its records."""
+    from pyspark.sql import Window
+
+    starts = chain.select("file", "at", F.col("at").alias("start"))
+    upto = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    owned = found.where(F.col("at") >= 0).select("file", "at", "block", "seq").join(starts, ["file", "at"], "left").withColumn("of", F.last("start", ignorenulls=True).over(upto))
+    needed = owned.join(broken.select("file", F.col("at").alias("of"), "next"), ["file", "of"]).where(F.col("at") < F.col("next")).select("file", "block", "seq", "at", "of")
     texts = parts.join(needed, ["file", "block", "seq"]).groupBy("file", "of").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("all"))
     joined = texts.select("file", F.col("of").alias("at"), F.array_join("all.value", MAGIC).cast("binary").alias("data"))
     body = F.substring(F.col("data"), (F.col("body_at") + 1).cast("int"), F.col("length").cast("int"))

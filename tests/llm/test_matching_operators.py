@@ -31,6 +31,15 @@ def test_warc_comes_back_with_magic_inside_payloads(frame, compression):
     assert got == sorted(str(make(*w)) for w in want)
 
 
+def test_warc_payload_full_of_magic_lines(frame):
+    record = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:9>\r\nContent-Length: 0\r\n\r\n\r\n"
+    texts = [record * 400, "x" + "WARC/1.1\r\n" * 700, "plain", "é" * 70_000 + record, ""]
+    pages = frame([(i, "u", t) for i, t in enumerate(texts)] + [(None, "u", "x")], "page_id long, url string, html string").withColumn("block", F.lit(1))
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type) for r in warc.round_trip(pages, per_file=4, compression="none").collect()}
+    want = {i: t.encode() for i, t in enumerate(texts)} | {None: b"x"}
+    assert got == {i: (len(b), hashlib.sha256(b).hexdigest(), "response") for i, b in want.items()}
+
+
 def test_warc_of_an_empty_table(frame):
     assert warc.round_trip(frame([], "page_id long, url string, html string")).count() == 0
 

@@ -103,6 +103,39 @@ def test_toxicity_learns_held_out_rows_and_odd_texts(frame, spark):
     assert kept == {i for i, _, y in rows if not y} | {1000, 1001}
 
 
+def _plain_buckets(text):
+    data = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+    grams = ((k, data[i : i + k]) for k in toxicity.SIZES for i in range(len(data) - k + 1))
+    return {(int.from_bytes(g, "big") * toxicity._SALTS[k] % 2**64) >> (64 - toxicity.BITS) for k, g in grams}
+
+
+def test_toxicity_equals_a_plain_version(frame):
+    rows = _toxic(150) + [(500, "Grumpfel", 0), (501, "é Grümpfel ABCD", 1), (502, "", 0), (503, "abc", 1)]
+    docs = frame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.train(docs, frame([(i, y) for i, _, y in rows], "doc_id long, toxic int"), docs_per_class=10**6, features=40, least_docs=3, least_z=2.0)
+    has, labels = [_plain_buckets(t) for _, t, _ in rows], np.array([y for _, _, y in rows], float)
+    n1, n0, rated = sum(labels), len(labels) - sum(labels), []
+    for b in set().union(*has):
+        ones = sum(y for h, y in zip(has, labels) if b in h)
+        zeros = sum(b in h for h in has) - ones
+        p, q, mix = (ones + 1) / (n1 + 2), (zeros + 1) / (n0 + 2), (ones + zeros + 1) / (n1 + n0 + 2)
+        if ones + zeros >= 3 and abs(p - q) / (mix * (1 - mix) * (1 / n1 + 1 / n0)) ** 0.5 >= 2.0:
+            rated.append((-round(abs(p - q) * abs(np.log(p / q)), 9), b, np.log(p / q)))
+    chosen = sorted(rated)[:40]
+    assert set(model.weights) == {b for _, b, _ in chosen}
+    ratio = np.array([r for _, _, r in chosen])
+    x = np.array([[b in h for _, b, _ in chosen] for h in has]) * ratio
+    step, w, c, pw, pc = 1 / (0.25 * ((x**2).sum(1) + 1).mean() + 1e-5), np.zeros(len(ratio)), 0.0, np.zeros(len(ratio)), 0.0
+    for t in range(1, 601):
+        vw, vc = w + (t - 1) / (t + 2) * (w - pw), c + (t - 1) / (t + 2) * (c - pc)
+        err = (1 / (1 + np.exp(-(x @ vw + vc))) - labels) / len(labels)
+        pw, pc, w, c = w, c, vw - step * (x.T @ err + 1e-5 * vw / 2), vc - step * err.sum()
+    assert abs(model.bias - c) < 1e-6 and all(abs(model.weights[b] - v * r) < 1e-6 for (_, b, r), v in zip(chosen, w))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for (i, _, _), h in zip(rows, has):
+        assert abs(got[i] - 1 / (1 + np.exp(-sum(model.weights.get(b, 0.0) for b in h) - model.bias))) < 1e-5
+
+
 def test_toxicity_without_a_class_or_rows(frame):
     docs, none = frame([(1, "a")], "doc_id long, text string"), frame([], "doc_id long, toxic int")
     assert toxicity.score(docs, toxicity.train(docs, none)).first().score < 0.7
