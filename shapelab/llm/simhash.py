@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, lean, release, row_slices, shuffle_partitions, stash
+from .common import bound_batches, cut, lean, measured_broadcasts, release, row_slices, shuffle_partitions, stash, unbroadcast
 
 SEED = 42
 _HALF = 32
@@ -111,6 +111,7 @@ def _next_variants(members: DataFrame) -> DataFrame:
     ).distinct()
 
 
+@measured_broadcasts
 def links(nodes: DataFrame, distance: int = 3, limit: int = 64) -> DataFrame:
     """Distinct pairs (a, b), a < b, of the distinct values fp that differ in at most
     three bits (or fewer, by distance), as a stashed table."""
@@ -124,7 +125,7 @@ def links(nodes: DataFrame, distance: int = 3, limit: int = 64) -> DataFrame:
         rows = variants.withColumn("sig", F.col("fp").bitwiseAND(F.col("mask"))).withColumn("side", F.col("fp").bitwiseAND(F.col("last")) != 0)
         sizes = rows.groupBy(*place).agg(F.count("*").alias("n"), F.min("side").alias("s0"), F.max("side").alias("s1"))
         shared = sizes.where((F.col("n") > 1) & ((F.col("wild") == 0) | (F.col("s0") != F.col("s1")))).select(*place, "n")
-        members = stash(rows.join(shared, place))
+        members = stash(unbroadcast(rows).join(shared, place))  # many times the rows that Spark has measured
         used.append(members)
         small = members.where(F.col("n") <= limit) if depth < 3 else members
         a = small.where((F.col("wild") == 0) | ~F.col("side")).select(*place, F.col("fp").alias("a"))
@@ -142,6 +143,7 @@ def links(nodes: DataFrame, distance: int = 3, limit: int = 64) -> DataFrame:
     return pairs
 
 
+@measured_broadcasts
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges(a, b), as a stashed table; root is the least node
     reachable.  Each round hooks roots to their neighbours' grandparents and halves the paths."""
@@ -161,6 +163,7 @@ def components(edges: DataFrame) -> DataFrame:
             return parent
 
 
+@measured_broadcasts
 def groups(prints: DataFrame, key: str = "doc_id", distance: int = 3, limit: int = 64) -> DataFrame:
     """prints(key, fp) with component_id: the smallest key of a component names it."""
     nodes = stash(prints.groupBy("fp").agg(F.min(key).alias("least")))
@@ -170,7 +173,7 @@ def groups(prints: DataFrame, key: str = "doc_id", distance: int = 3, limit: int
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(rooted.join(least, "root").select("fp", "component_id"))
     release(nodes, pairs, root)
-    return prints.join(named, "fp").select(key, "fp", "component_id")
+    return prints.join(unbroadcast(named), "fp").select(key, "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", width: int = 3, distance: int = 3, limit: int = 64) -> DataFrame:

@@ -304,3 +304,23 @@ def test_simhash_links_lose_nothing_in_dense_groups(frame, limit):
     values = sorted(values)
     got = {tuple(sorted((r.a % 2**64, r.b % 2**64))) for r in simhash.links(frame([(simhash._signed(v),) for v in values], "fp long"), 3, limit).collect()}
     assert got == {(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if bin(a ^ b).count("1") <= 3}
+
+
+def _plans(spark, run):
+    """The plans, as they ended, of the SQL that run() executes."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = store.executionsList()
+    return [found.apply(i).physicalPlanDescription() for i in range(int(before), found.size())]
+
+
+def test_simhash_variants_are_not_broadcast(spark, tmp_path):
+    """Spark takes the variants for as small as the fingerprints that they are made of."""
+    rng = random.Random(5)
+    values = [rng.getrandbits(63) for _ in range(300)]
+    spark.createDataFrame([(v ^ bit,) for v in values for bit in (0, 1 << 40)], "fp long").distinct().write.parquet(f"{tmp_path}/p")
+    plans = _plans(spark, lambda: simhash.links(spark.read.parquet(f"{tmp_path}/p")))
+    expanded = [p for p in plans if "Generate" in p and "Join" in p]
+    assert expanded and not any("BroadcastExchange" in p for p in expanded)
