@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, distinct, lean, mix64, release, row_slices, stash
+from .common import bound_batches, cut, distinct, lean, measured_broadcasts, mix64, release, row_slices, stash, unbroadcast
 from .simhash import components, links, majority, shingle_hashes
 
 WIDTH = 5
@@ -149,6 +149,7 @@ def _near_prints(nodes: DataFrame) -> DataFrame:
     return pairs
 
 
+@measured_broadcasts
 def grouped(docs: DataFrame, key: str = "doc_id"):
     """((key, __mark, root) of every row of docs(key, text), the tables it reads): rows of one
     root are near copies; __mark is a hash of the text."""
@@ -159,7 +160,7 @@ def grouped(docs: DataFrame, key: str = "doc_id"):
     rows = nodes.select("node", "size", F.explode("bands").alias("band"))
     lead = F.min_by(F.struct(F.col("node").alias("lead"), F.col("size").alias("lead_size")), F.xxhash64("node", "band")).alias("l")
     shared = rows.groupBy("band").agg(F.count("*").alias("n"), lead).where("n > 1").select("band", "l.*")
-    members = stash(rows.join(shared, "band"))
+    members = stash(unbroadcast(rows).join(shared, "band"))
     close = _near_prints(nodes)
 
     wanted = members.select("node").union(close.select("a")).union(close.select("b")).distinct().join(nodes.select("node", "name", "one"), "node")
@@ -192,6 +193,7 @@ def grouped(docs: DataFrame, key: str = "doc_id"):
     return prints.select(key, "__mark", "name").join(rooted, "name").select(key, "__mark", "root"), [prints, rooted]
 
 
+@measured_broadcasts
 def one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of docs that stay, as they are."""
     named, used = grouped(docs.select(key, "text"), key)

@@ -120,3 +120,20 @@ def test_near_dedup_judges_rows_and_not_keys(spark):
     kept = sorted((str(r.doc_id), r.name) for r in neardup.one_of_each(frame).collect())
     assert kept == sorted([("3", "A"), ("5", "B"), ("None", "C"), ("7", "D"), ("7", "E"), ("None", "F")])
     assert neardup.one_of_each(frame.limit(0)).count() == 0
+
+
+def test_near_dedup_broadcasts_nothing_by_an_estimate(spark, folder, monkeypatch):
+    from shapelab.llm import neardup, simhash
+
+    plans, compute = [], neardup.stash
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return compute(df)
+
+    monkeypatch.setattr(neardup, "stash", planned)
+    monkeypatch.setattr(simhash, "stash", planned)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    neardup.one_of_each(spark.read.parquet(f"{folder[0]}/documents.parquet"))
+    assert len(plans) > 10 and not any("Broadcast" in p for p in plans)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == limit
