@@ -9,9 +9,10 @@ agree in a whole band are compared.  A pair of similarity s is missed by the ban
 with a chance of (1 - s**ROWS)**BANDS, 5e-8 at 0.8.  Equal sets are one node and need
 no comparison.
 
-Each band's members are compared with one of them first, another one in each band, so
-a large group of near copies falls together without its pairs being listed.  What is
-still in different components of one band is compared pair by pair, but only where two
+Each band's members are compared with one of them first, another one in each band, and
+those of one fingerprint with one of them, so a large group of near copies falls together
+without its pairs being listed.  Near fingerprints, and what is in one band, are compared
+pair by pair if still in different components; in a band only where two
 bounds leave room for 0.8: how many shingles of a set stand in any other of these sets
 (one that was changed in too many places has too few), and how many residues of its
 shingles the other set lacks.  Both hold for every pair, so no link is lost by them.
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, cut, distinct, lean, measured_broadcasts, mix64, release, row_slices, stash, unbroadcast
-from .simhash import components, links, majority, shingle_hashes
+from .simhash import components, links, majority, sharing, shingle_hashes
 
 WIDTH = 5
 ROWS, BANDS = 4, 32
@@ -136,17 +137,16 @@ def _pairs_of(found: DataFrame) -> DataFrame:
     return found.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _near_prints(nodes: DataFrame) -> DataFrame:
-    """(a, b): nodes whose fingerprints are within three bits, through one node of each fingerprint."""
-    prints = nodes.where(F.col("size") >= _LEAST).select("node", "size", "fp")
-    lead = stash(prints.groupBy("fp").agg(F.min(F.struct(F.col("node").alias("lead"), F.col("size").alias("lead_size"))).alias("l")).select("fp", "l.*"))
-    near = links(lead.select("fp"))
-    ends = near.join(lead.select(F.col("fp").alias("a"), F.col("lead").alias("x"), F.col("lead_size").alias("sx")), "a").join(lead.select(F.col("fp").alias("b"), F.col("lead").alias("y"), F.col("lead_size").alias("sy")), "b")
-    same = prints.join(lead, "fp").select(F.col("node").alias("x"), F.col("lead").alias("y"), F.col("size").alias("sx"), F.col("lead_size").alias("sy"))
-    both = ends.select("x", "y", "sx", "sy").union(same).where(_near_sizes(F.col("sx"), F.col("sy")))
-    pairs = stash(_pairs_of(both))
-    release(lead, near)
-    return pairs
+def _leads(nodes: DataFrame) -> DataFrame:
+    """fp and one node, lead, of each fingerprint, with its size, as a stashed table."""
+    one = F.min(F.struct(F.col("node").alias("lead"), F.col("size").alias("lead_size"))).alias("l")
+    return stash(nodes.where(F.col("size") >= _LEAST).groupBy("fp").agg(one).select("fp", "l.*"))
+
+
+def _near_prints(leads: DataFrame, near: DataFrame) -> DataFrame:
+    """(x, y): leads of the fingerprints (a, b) that are near."""
+    ends = near.join(leads.select(F.col("fp").alias("a"), F.col("lead").alias("x"), F.col("lead_size").alias("sx")), "a").join(leads.select(F.col("fp").alias("b"), F.col("lead").alias("y"), F.col("lead_size").alias("sy")), "b")
+    return ends.where(_near_sizes(F.col("sx"), F.col("sy"))).select("x", "y")
 
 
 @measured_broadcasts
@@ -161,17 +161,20 @@ def grouped(docs: DataFrame, key: str = "doc_id"):
     lead = F.min_by(F.struct(F.col("node").alias("lead"), F.col("size").alias("lead_size")), F.xxhash64("node", "band")).alias("l")
     shared = rows.groupBy("band").agg(F.count("*").alias("n"), lead).where("n > 1").select("band", "l.*")
     members = stash(unbroadcast(rows).join(shared, "band"))
-    close = _near_prints(nodes)
+    leads = _leads(nodes)
+    close = sharing(leads.select("fp"))
+    by_band = members.where(_near_sizes(F.col("size"), F.col("lead_size"))).select(F.col("node").alias("x"), F.col("lead").alias("y"))
+    by_print = nodes.where(F.col("size") >= _LEAST).join(leads, "fp").where(_near_sizes(F.col("size"), F.col("lead_size"))).select(F.col("node").alias("x"), F.col("lead").alias("y"))
+    first = stash(_pairs_of(by_band.union(by_print)))
 
-    wanted = members.select("node").union(close.select("a")).union(close.select("b")).distinct().join(nodes.select("node", "name", "one"), "node")
+    wanted = members.select("node").union(first.select("a")).union(first.select("b")).union(leads.join(close.select("fp").distinct(), "fp").select("lead")).distinct().join(nodes.select("node", "name", "one"), "node")
     texts = docs.select(key, "text").join(wanted.select(F.col(f"one.{key}").alias("__least_key"), F.col("one.__mark").alias("__least_mark")).distinct(), F.col(key).eqNullSafe(F.col("__least_key")) & (F.md5(F.coalesce(F.col("text"), F.lit(""))) == F.col("__least_mark")), "left_semi")
     sets = stash(_sets(texts).dropDuplicates(["name"]).join(wanted.select("node", "name"), "name").select("node", "shingles", "bits"))
 
-    first = members.where((F.col("node") != F.col("lead")) & _near_sizes(F.col("size"), F.col("lead_size"))).select(F.col("node").alias("x"), F.col("lead").alias("y"))
-    first = stash(_pairs_of(first).union(close).distinct())
     alike = stash(_similar(first, sets))
-    root = components(alike)
-    placed = members.select("band", "node", "size").join(root.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    tree = components(alike)
+    root = stash(nodes.select("node").join(tree.select("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    placed = members.select("band", "node", "size").join(root, "node")
     mixed = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("band")
     apart = stash(placed.join(mixed, "band", "left_semi"))
     able = _shared_sizes(apart.select("node", "size").distinct(), sets)
@@ -183,13 +186,16 @@ def grouped(docs: DataFrame, key: str = "doc_id"):
     most = F.least("cx", "cy", F.col("sx") - lacking("mx", "my"), F.col("sy") - lacking("my", "mx"))
     once = F.array_intersect("lx", "ly")[0] == F.col("band")  # a pair that shares several bands is named in one
     rest = x.join(y, "band").where((F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & (9 * F.least("cx", "cy") >= 4 * (F.col("sx") + F.col("sy"))) & (9 * most >= 4 * (F.col("sx") + F.col("sy"))) & once)
-    rest = stash(rest.select(F.col("x").alias("a"), F.col("y").alias("b")).join(first, ["a", "b"], "left_anti"))
-    all_links = stash(alike.union(_similar(rest, sets)))
-    release(members, close, sets, first, root, apart, able, left, rest, alike)
-
-    root = components(all_links)
-    rooted = stash(nodes.select("node", "name").join(root.select("node", "root"), "node", "left").select("name", F.coalesce("root", "node").alias("root")))
-    release(all_links, root, nodes)
+    near = links(leads.select("fp"), shared=close, labels=leads.join(root.withColumnRenamed("node", "lead"), "lead").select("fp", F.col("root").alias("label")))
+    rest = stash(_pairs_of(rest.select("x", "y").union(_near_prints(leads, near))).join(first, ["a", "b"], "left_anti"))
+    more = _similar(rest, sets).join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+    more = stash(more.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    above = components(more)
+    release(members, leads, close, near, sets, first, alike, tree, apart, able, left, rest, more)
+
+    top = root.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    rooted = stash(nodes.select("node", "name").join(top, "node").select("name", "root"))
+    release(above, root, nodes)
     return prints.select(key, "__mark", "name").join(rooted, "name").select(key, "__mark", "root"), [prints, rooted]
 
 

@@ -13,8 +13,8 @@ are indexed anew with the other bits cut in two by the same rule, again and agai
 if need be; after three times at most 2**8 fingerprints can share a signature.
 So no group is ever expanded into all its pairs and no link is lost.
 
-Connected components come from hooking and pointer jumping over tables; links,
-labels and fingerprints stay distributed.
+Connected components come from hooking, pointer jumping and contraction over tables;
+links, labels and fingerprints stay distributed.
 
 Defined results: texts without a word (null, empty, white space) have the
 fingerprint zero and are linked like any other; a text of any length is taken
@@ -111,33 +111,59 @@ def _next_variants(members: DataFrame) -> DataFrame:
     ).distinct()
 
 
+_PLACE = ["mask", "wild", "sig"]
+
+
+def _sharing(variants: DataFrame) -> DataFrame:
+    """The variants whose signature another fingerprint can be linked by, as a stashed table."""
+    rows = variants.withColumn("sig", F.col("fp").bitwiseAND(F.col("mask"))).withColumn("side", F.col("fp").bitwiseAND(F.col("last")) != 0)
+    sizes = rows.groupBy(*_PLACE).agg(F.count("*").alias("n"), F.min("side").alias("s0"), F.max("side").alias("s1"))
+    shared = sizes.where((F.col("n") > 1) & ((F.col("wild") == 0) | (F.col("s0") != F.col("s1")))).select(*_PLACE, "n")
+    return stash(unbroadcast(rows).join(shared, _PLACE))  # many times the rows that Spark has measured
+
+
 @measured_broadcasts
-def links(nodes: DataFrame, distance: int = 3, limit: int = 64) -> DataFrame:
+def sharing(nodes: DataFrame) -> DataFrame:
+    """The signatures that distinct values fp share, as a stashed table; links() starts from it."""
+    # Few bytes become many rows: dealt out before, so that all tasks share the expansion.
+    return _sharing(_first_variants(nodes.select("fp").repartition(4 * shuffle_partitions(nodes.sparkSession), "fp")))
+
+
+def _of_several(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members, with label, of signatures that stand under several labels."""
+    known = members.join(labels, "fp")
+    mixed = known.groupBy(*_PLACE).agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select(*_PLACE)
+    return stash(known.join(mixed, _PLACE))
+
+
+@measured_broadcasts
+def links(nodes: DataFrame, distance: int = 3, limit: int = 64, shared: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
     """Distinct pairs (a, b), a < b, of the distinct values fp that differ in at most
-    three bits (or fewer, by distance), as a stashed table."""
+    three bits (or fewer, by distance), as a stashed table.  shared is what sharing() gave for
+    them, if it has run; with labels(fp, label) pairs of one label are not listed."""
     if not 0 <= distance <= 3:
         raise ValueError("two segments leave one with one differing bit only up to distance 3")
-    # Few bytes become many rows: dealt out before, so that all tasks share the expansion.
-    nodes = nodes.select("fp").repartition(4 * shuffle_partitions(nodes.sparkSession), "fp")
-    variants, found, used = _first_variants(nodes), [], []
-    place = ["mask", "wild", "sig"]
+    members, found = sharing(nodes) if shared is None else shared, []
+    used = [members] if shared is None else []
     for depth in range(4):
-        rows = variants.withColumn("sig", F.col("fp").bitwiseAND(F.col("mask"))).withColumn("side", F.col("fp").bitwiseAND(F.col("last")) != 0)
-        sizes = rows.groupBy(*place).agg(F.count("*").alias("n"), F.min("side").alias("s0"), F.max("side").alias("s1"))
-        shared = sizes.where((F.col("n") > 1) & ((F.col("wild") == 0) | (F.col("s0") != F.col("s1")))).select(*place, "n")
-        members = stash(unbroadcast(rows).join(shared, place))  # many times the rows that Spark has measured
-        used.append(members)
+        if labels is not None:
+            members = _of_several(members, labels)
+            used.append(members)
         small = members.where(F.col("n") <= limit) if depth < 3 else members
-        a = small.where((F.col("wild") == 0) | ~F.col("side")).select(*place, F.col("fp").alias("a"))
-        b = small.where((F.col("wild") == 0) | F.col("side")).select(*place, F.col("fp").alias("b"))
+        label = ["label"] if labels is not None else []
+        a = small.where((F.col("wild") == 0) | ~F.col("side")).select(*_PLACE, F.col("fp").alias("a"), *[F.col(x).alias("la") for x in label])
+        b = small.where((F.col("wild") == 0) | F.col("side")).select(*_PLACE, F.col("fp").alias("b"), *[F.col(x).alias("lb") for x in label])
         differ = F.col("a").bitwiseXOR(F.col("b"))
         apart = (F.col("wild") != 0) | (F.col("a") < F.col("b"))
+        if label:
+            apart = apart & (F.col("la") != F.col("lb"))
         verified = (F.bit_count(differ) <= distance) & (differ.bitwiseAND(F.col("wild")) == F.col("wild"))
-        found.append(a.join(b, place).where(apart & verified).select("a", "b"))
+        found.append(a.join(b, _PLACE).where(apart & verified).select("a", "b"))
         large = members.where(F.col("n") > limit)
         if depth == 3 or large.isEmpty():
             break
-        variants = _next_variants(large.select("fp", "mask", "wild", "last", "lo", "width"))
+        members = _sharing(_next_variants(large.select("fp", "mask", "wild", "last", "lo", "width")))
+        used.append(members)
     pairs = stash(reduce(DataFrame.union, found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     release(*used)
     return pairs
@@ -146,21 +172,34 @@ def links(nodes: DataFrame, distance: int = 3, limit: int = 64) -> DataFrame:
 @measured_broadcasts
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges(a, b), as a stashed table; root is the least node
-    reachable.  Each round hooks roots to their neighbours' grandparents and halves the paths."""
-    both = stash(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    parent = stash(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "node"))
+    reachable.  Each round hooks nodes to their least neighbours and halves the paths until
+    the trees are flat; then only edges between trees are left, by the trees' roots."""
+    left, rooted = stash(edges.select("a", "b").distinct()), None
     while True:
-        up = parent.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        grand = parent.select("node", "root").join(up, "root").select("node", "root", "top")
-        over = both.join(grand.select(F.col("node").alias("b"), "top"), "b").groupBy("a").agg(F.min("top").alias("near")).withColumnRenamed("a", "node")
-        offers = grand.join(over, "node").select("node", "root", F.least("top", "near").alias("low"))
-        hooked = offers.groupBy("root").agg(F.min("low").alias("low")).select(F.col("root").alias("node"), F.col("low").alias("hook"))
-        step = stash(offers.join(hooked, "node", "left").select("node", F.col("root").alias("old"), F.least("root", "low", "hook").alias("root")))
-        release(parent)
-        parent = step
-        if step.where(F.col("root") != F.col("old")).isEmpty():
-            release(both)
-            return parent
+        both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        parent = stash(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("root")))
+        while True:
+            up = parent.select(F.col("node").alias("root"), F.col("root").alias("top"))
+            step = stash(parent.select("node", "root").join(up, "root").select("node", F.col("root").alias("old"), F.col("top").alias("root")))
+            release(parent)
+            parent = step
+            if step.where(F.col("root") != F.col("old")).isEmpty():
+                break
+        top_a, top_b = (parent.select(F.col("node").alias(x), F.col("root").alias(f"top_{x}")) for x in "ab")
+        between = left.join(top_a, "a").join(top_b, "b").where("top_a != top_b")
+        then = stash(between.select(F.least("top_a", "top_b").alias("a"), F.greatest("top_a", "top_b").alias("b")).distinct())
+        if rooted is None:
+            rooted = parent
+        else:
+            above = parent.select(F.col("node").alias("root"), F.col("root").alias("top"))
+            whole = stash(rooted.select("node", "root").join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+            release(rooted, parent)
+            rooted = whole
+        release(left)
+        left = then
+        if left.isEmpty():
+            release(left)
+            return rooted
 
 
 @measured_broadcasts

@@ -324,3 +324,31 @@ def test_simhash_variants_are_not_broadcast(spark, tmp_path):
     plans = _plans(spark, lambda: simhash.links(spark.read.parquet(f"{tmp_path}/p")))
     expanded = [p for p in plans if "Generate" in p and "Join" in p]
     assert expanded and not any("BroadcastExchange" in p for p in expanded)
+
+
+def test_simhash_links_leave_out_pairs_of_one_label(frame):
+    rng = random.Random(8)
+    base = [rng.getrandbits(64) for _ in range(3)]
+    values = sorted({v ^ sum(1 << b for b in rng.sample(range(6), rng.randrange(4))) for v in [*base, base[0] ^ (1 << 50)] for _ in range(60)})
+    label = {v: v >> 51 & 3 for v in values}
+    nodes = frame([(simhash._signed(v),) for v in values], "fp long")
+    labels = frame([(simhash._signed(v), label[v]) for v in values], "fp long, label long")
+    want = {(a, b) for a in values for b in values if a < b and bin(a ^ b).count("1") <= 3}
+    for key in (label, {v: v >> 50 & 7 for v in values}):
+        labels = frame([(simhash._signed(v), key[v]) for v in values], "fp long, label long")
+        for limit in (4, 64):
+            got = [tuple(sorted((r.a % 2**64, r.b % 2**64))) for r in simhash.links(nodes, 3, limit, labels=labels).collect()]
+            assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in want if key[a] != key[b]}
+
+
+def test_components_of_chains_stars_and_loops(frame):
+    rng = random.Random(9)
+    names = rng.sample(range(10**6), 400)
+    edges = list(zip(names[:99], names[1:100])) + [(names[100], x) for x in names[101:200]] + list(zip(sorted(names[200:260]), sorted(names[200:260])[1:]))
+    edges += [tuple(rng.sample(names[260:400], 2)) for _ in range(90)] + [(7 * 10**6, 7 * 10**6)]
+    comp = {x: x for e in edges for x in e}
+    for _ in comp:
+        for a, b in edges:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    rows = simhash.components(frame(edges, "a long, b long")).collect()
+    assert len(rows) == len(comp) and {r.node: r.root for r in rows} == comp

@@ -137,3 +137,21 @@ def test_near_dedup_broadcasts_nothing_by_an_estimate(spark, folder, monkeypatch
     neardup.one_of_each(spark.read.parquet(f"{folder[0]}/documents.parquet"))
     assert len(plans) > 10 and not any("Broadcast" in p for p in plans)
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == limit
+
+
+def test_near_dedup_lists_no_pairs_inside_a_group_that_is_linked(spark, monkeypatch):
+    from shapelab.llm import neardup
+
+    rng = random.Random(77)
+    words = [str(rng.randrange(10**6)) for _ in range(600)]
+    texts = []
+    for i in range(80):
+        copy = list(words)
+        copy[rng.randrange(600)] = f"other{i}"
+        texts.append(" ".join(copy))
+    listed, find = [], neardup.links
+    monkeypatch.setattr(neardup, "links", lambda *a, **b: listed.append(find(*a, **b)) or listed[-1])
+    monkeypatch.setattr(neardup, "release", lambda *frames: None)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    assert [r.doc_id for r in neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()] == [0]
+    assert sum(x.count() for x in listed) < len(rows)
